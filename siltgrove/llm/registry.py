@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import split
+from ..session import table, written
+from . import leak, mix, neardup, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,91 @@ where length(text) > 900 or len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) > 12
 """
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of events that say almost the same."""
+    return neardup.event_pairs(table(spark, sf_dir, "wcep"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its group, its class of exact copies and its number of links."""
+    return neardup.event_groups(table(spark, sf_dir, "wcep"))
+
+
+P5_SQL = """
+with e as (
+  select distinct sample_id, regexp_extract_all(lower(array_to_string(document, ' ')), '[\\p{L}\\p{N}]+') as t from wcep),
+g as (select distinct sample_id, array_to_string(t[i:i+2], ' ') as g
+      from (select sample_id, t, unnest(range(1, len(t) - 1)) as i from e where len(t) >= 3)),
+n as (select sample_id, count(*) as n from g group by 1),
+c as (select a.sample_id as sample_a, b.sample_id as sample_b, count(*) as c
+      from g a join g b on a.g = b.g and a.sample_id < b.sample_id group by 1, 2)
+select sample_a, sample_b from c join n x on x.sample_id = sample_a join n y on y.sample_id = sample_b
+where 1000 * c >= 600 * (x.n + y.n - c)
+"""
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that leaked into them."""
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked stretches, with offsets in the document as given."""
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked test item, the documents that hold parts of it and its longest leaked stretch in tokens."""
+    return p8_leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_tokens").alias("longest"))
+
+
+P8_SQL = """
+with i as (
+  select distinct item_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') as t
+  from (select item_id, unnest([question, passage]) as t from eval_item)),
+p as (select distinct item_id, array_to_string(t[k:k+11], ' ') as g
+      from (select item_id, t, unnest(range(1, len(t) - 10)) as k from i where len(t) >= 12)),
+d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents),
+w as (select distinct doc_id, array_to_string(t[k:k+11], ' ') as g
+      from (select doc_id, t, unnest(range(1, len(t) - 10)) as k from d where len(t) >= 12))
+select distinct doc_id, item_id from w join p using (g)
+"""
+
+
+def _sized(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+    return mix.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), unit)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share of the mix within their cap."""
+    return mix.plan(_sized(spark, sf_dir, "words"), table(spark, sf_dir, "mix_target")).where("short").select("source")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix in tokens: which units of which document each slot of each shard holds."""
+    sized = written(_sized(spark, sf_dir, "tokens"), "sizes")
+    return mix.mixed(sized, mix.plan(sized, table(spark, sf_dir, "mix_target")))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources in the mix, in tokens."""
+    sized = written(_sized(spark, sf_dir, "tokens"), "sizes")
+    planned = mix.plan(sized, table(spark, sf_dir, "mix_target"))
+    return mix.shares(mix.mixed(sized, planned), planned)
+
+
+P9_SQL = """
+with d as (select lower(trim(source)) as k, coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) as n
+           from documents where source is not null),
+s as (select k, sum(n) as n from d group by 1)
+select m.source from mix_target m left join s on s.k = lower(trim(m.source))
+where coalesce(s.n, 0) * m.max_repeats < m.target_share * (select sum(n) from d)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p9_found": P9_SQL}
