@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, mix, neardup, split
+from . import leak, mix, neardup, pairs, scans, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,21 @@ where length(text) > 900 or len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) > 12
 """
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of scanned PDFs with their defects."""
+    return p2_repaired(spark, sf_dir).select("item_id", F.explode("defects").alias("defect")).distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text and content of an item as readable paragraphs, with its defects."""
+    return scans.repair(table(spark, sf_dir, "content_item"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds whose response is no sound reply, with their defect."""
+    return pairs.defects(table(spark, sf_dir, "state_log"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of events that say almost the same."""
     return neardup.event_pairs(table(spark, sf_dir, "wcep"))
@@ -117,7 +132,7 @@ where coalesce(s.n, 0) * m.max_repeats < m.target_share * (select sum(n) from d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
