@@ -22,12 +22,12 @@ from ..session import written
 CONFUSIONS = (
     ("e", "ø", 0.02), ("e", "c", 0.02), ("a", "ɑ", 0.02), ("o", "0", 0.02), ("t", "f", 0.02), ("i", "l", 0.02), ("i", "1", 0.02),
     ("s", "5", 0.02), ("n", "u", 0.02), ("d", "cl", 0.02), ("l", "1", 0.02), ("u", "ii", 0.02), ("h", "b", 0.02), ("m", "rn", 0.02),
-    ("b", "6", 0.01), ("w", "vv", 0.02), ("g", "9", 0.02), ("ri", "n", 0.005), ("nn", "rm", 0.01), ("li", "h", 0.01), ("rn", "m", 0.02),
+    ("b", "6", 0.01), ("w", "vv", 0.02), ("g", "9", 0.02), ("z", "2", 0.01), ("ri", "n", 0.005), ("nn", "rm", 0.01), ("li", "h", 0.01), ("rn", "m", 0.02),
 )
 CHAPTER = "chapter|part|section|chapitre|partie|kapitel|teil|abschnitt|capítulo|capitulo|parte|sección"
 # End of fixed values.
 #: Characters and runs that no word of the corpus's languages is written with.
-ODD = re.compile(r"ɑ|ø|ii|vv|(?<=[^\W\d])[015 69](?=[^\W\d])|^[1569](?=[^\W\d]{4})|(?<=[^\W\d]{4})[01569]$".replace(" ", ""))
+ODD = re.compile(r"ɑ|ø|ii|vv|(?<=[^\W\d]{2})[012569](?=[^\W\d])|(?<=[^\W\d])[012569](?=[^\W\d]{2})|^[12569](?=[^\W\d]{4})|(?<=[^\W\d]{4})[012569]$")
 MARKS = "-­‐‑¬–"
 BREAK = "\r\n|\n|\r"
 _LINE = re.compile(BREAK)
@@ -142,7 +142,8 @@ def readings(word: str, most: int = 2) -> dict[str, float]:
 
 def _read_vocabulary(batches):  # noqa: ANN001, ANN202
     for b in batches:
-        rows = [(w, n, c, lp) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 2 for c, lp in readings(w).items()]
+        # A word that no language spells so is hardly itself, however often the scans repeat it.
+        rows = [(w, n, c, lp + (5.0 if ODD.search(w) else 0.0)) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 2 for c, lp in readings(w).items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.float64()))], names=["w", "n", "cand", "lp"])
 
 
@@ -171,7 +172,7 @@ def _plain(word: str) -> str | None:
     """A reading of a word with odd characters that the corpus doesn't have: each one by its first confusion."""
     if not ODD.search(word) or sum(c.isalpha() for c in word) < 4:
         return None
-    for seen in ("ɑ", "ø", "ii", "vv", "0", "1", "5", "6", "9"):
+    for seen in ("ɑ", "ø", "ii", "vv", "0", "1", "2", "5", "6", "9"):
         word = word.replace(seen, _BY_SEEN[seen][0][0])
     return word
 
@@ -294,7 +295,7 @@ def repair(content: DataFrame) -> DataFrame:
     pairs = asked.join(bigrams, ["l", "r"]).groupBy("item_id", "field").agg(F.collect_list(F.struct("l", "r", "c")).alias("pairs"))
     options = suspicious.groupBy("item_id", "field").agg(F.collect_list(F.struct("pos", "cands")).alias("options"))
     # Counts of the words the rules ask for: broken words in both spellings, and words with odd characters.
-    odd = F.filter("words", lambda w: w.rlike("ɑ|ø|ii|vv|[01569]"))
+    odd = F.filter("words", lambda w: w.rlike("ɑ|ø|ii|vv|[012569]"))
     wanted = parsed.where("target").select("item_id", "field", F.explode(F.array_distinct(F.concat(odd, "breaks.joined", "breaks.compound"))).alias("w"))
     counts = wanted.join(vocabulary, "w").groupBy("item_id", "field").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
     full = parsed.where("target").select("item_id", "field", "page", "heads", "text")
