@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, mix, neardup, pairs, scans, split
+from . import leak, markup, mix, neardup, pairs, scans, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,16 @@ where 1000 * c >= 600 * (x.n + y.n - c)
 """
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items, fields and kinds of markup in them."""
+    return p7_clean(spark, sf_dir).select("item_id", "field_name", F.explode("markup").alias("markup"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields as clean text that keeps headings, lists, code, tables and formulas."""
+    return markup.cleaned(table(spark, sf_dir, "content_item"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the test items that leaked into them."""
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
@@ -132,7 +142,7 @@ where coalesce(s.n, 0) * m.max_repeats < m.target_share * (select sum(n) from d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
