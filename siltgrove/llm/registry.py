@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, markup, mix, neardup, pairs, scans, split
+from . import leak, markup, mix, neardup, nearest, pairs, scans, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,16 @@ where 1000 * c >= 600 * (x.n + y.n - c)
 """
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of leaves with a similarity of at least 0.80, one among the five most similar of the other."""
+    return nearest.near_pairs(table(spark, sf_dir, "nodes"))
+
+
+def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other leaves of every usable leaf."""
+    return nearest.nearest(table(spark, sf_dir, "nodes"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, fields and kinds of markup in them."""
     return p7_clean(spark, sf_dir).select("item_id", "field_name", F.explode("markup").alias("markup"))
@@ -142,7 +152,7 @@ where coalesce(s.n, 0) * m.max_repeats < m.target_share * (select sum(n) from d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
