@@ -26,6 +26,8 @@ PROBES, CODEBOOKS, CODES, BEAM = 8, 8, 256, 2
 SHORT = (448, 320, 192)
 #: Queries whose look-up tables are held at a time.
 BLOCK = 2048
+#: Groups that a vector visits as a query.
+VISITS = 2
 #: Base vectors of a group in one task; a larger group is salted, and its queries visit every salt.
 SALT = 24_000
 K = 5
@@ -80,9 +82,18 @@ class Index:
         self.books = np.concatenate(books)  # CODEBOOKS * CODES full-dimensional codewords
         self.gram = self.books @ self.books.T
 
-    def probes(self, x: np.ndarray, most: int) -> np.ndarray:
-        """The nearest centres of each vector, nearest first."""
+    def probes(self, x: np.ndarray, most: int, visits: int = 0) -> np.ndarray:
+        """The nearest centres of each vector, nearest first. With visits, only centres of so many groups count: that
+        of the nearest centre and those of the next ones; so a vector travels at most so often, however many groups
+        there are."""
         s = x @ self.centres.T
+        if visits and self.group.max() >= visits:
+            best = np.full((len(x), self.group.max() + 1), -2, np.float32)
+            for g in range(best.shape[1]):
+                best[:, g] = s[:, self.group == g].max(1, initial=-2)
+            far = best < -np.partition(-best, visits - 1, axis=1)[:, visits - 1 : visits]
+            s = np.where(far[:, self.group], -3, s)
+            most = min(most, int((~far[:, self.group]).sum(1).min()))
         most = min(most, s.shape[1])
         top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.tile(np.arange(most), (len(x), 1))
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
@@ -205,7 +216,7 @@ def nearest(nodes: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 ids, x, rn = part.column(0).to_numpy(), matrix(part.column(1), WIDTH), part.column(2).to_numpy()
-                near = ix.probes(x, probes)
+                near = ix.probes(x, probes, VISITS)
                 codes, norms = ix.encode(x, near[:, 0])
                 groups = ix.group[near]
                 mine = groups[:, 0]

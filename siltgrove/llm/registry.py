@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, markup, mix, neardup, nearest, pairs, scans, split
+from . import leak, level, markup, mix, neardup, nearest, pairs, scans, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +142,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(mix.mixed(sized, planned), planned)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of at least 30 words with the grade of its reading level."""
+    return p10_levels(spark, sf_dir).select("doc_id", "grade")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades with the expected level between them."""
+    return level.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
+
+
 P9_SQL = """
 with d as (select lower(trim(source)) as k, coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) as n
            from documents where source is not null),
@@ -152,7 +162,7 @@ where coalesce(s.n, 0) * m.max_repeats < m.target_share * (select sum(n) from d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares, p10_found, p10_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
