@@ -1,10 +1,10 @@
-"""Reading level of documents: a Rasch-style model of levels and word occurrence, fitted by alternating steps.
+"""Reading level of documents: a Rasch-style model of levels and word difficulties, fitted by alternating passes.
 
-A document has a latent level from 1 to 5, a word a difficulty curve over the levels: how often it occurs, per word of
-text of its language, at each of them, held smooth between neighbouring levels. Ratings are noisy views of the level.
-The item step estimates the curves of all words from the rated documents' beliefs about their level, the person step
-updates those beliefs from words and ratings, with curves fitted on the other folds; both are one distributed pass.
-Words are hashed, so the model's size is fixed: BUCKETS x 5 numbers per fold, whatever the vocabulary.
+A document has a latent level, a word a difficulty on the same scale; the words that occur in a document say its
+level: the overall mean plus the mean difficulty of its distinct words. Ratings are noisy views of levels. Difficulties
+have a normal prior and are estimated by alternating between documents (levels from difficulties) and words (what the
+levels miss of the ratings, gathered per word), each alternation one distributed pass over the rated documents; then
+every document is scored. Words are hashed, so the model is BUCKETS numbers, whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -21,12 +21,11 @@ from ..session import written
 from .pairs import FUNCTION_WORDS
 from .split import WORD
 
-LEVELS, BUCKETS, FOLDS, ROUNDS = 5, 1 << 17, 4, 2
+LEVELS, BUCKETS = 5, 1 << 17
 LEAST_WORDS, LEAST_COUNT = 30, 3
-#: How far words count against ratings in the person step; likelihood of a rating that is so many levels off.
-TEMPER, OFF = 0.1, (0.8, 0.09, 0.01, 0.005, 0.005)
-#: Share of a level that its neighbours' documents lend to a word's curve, per step.
-LEND, PRIOR = 0.1, 1.0
+#: Alternations between documents and words, weight of the prior on difficulties, most ratings that a document counts
+#: for, bins of levels for the limits between grades.
+ROUNDS, PRIOR, MOST_RATINGS, BINS = 10, 0.1, 3, 600
 _ITEM = re.compile(r"[^\W\d_]+|[^\w\s]")
 _LANGUAGES = tuple(FUNCTION_WORDS)
 _SETS = [frozenset(FUNCTION_WORDS[k].split()) for k in _LANGUAGES]
@@ -65,42 +64,10 @@ def ratings(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(*[F.count_if(F.col("grade") == g).cast("int").alias(f"g{g}") for g in range(1, LEVELS + 1)])
 
 
-_RATING = np.log(np.array([[OFF[abs(a - b)] for b in range(LEVELS)] for a in range(LEVELS)]))
-_SMOOTH = np.array([[float(LEND) ** abs(a - b) for b in range(LEVELS)] for a in range(LEVELS)])
-_SMOOTH /= _SMOOTH.sum(1, keepdims=True)
-
-
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
-
-
-def curves(counts: np.ndarray, language: np.ndarray) -> np.ndarray:
-    """Log ratio of each bucket's rate at each level to its rate at all levels of its language. counts is per bucket
-    and level, language the one that a bucket is mostly of; buckets seen less than LEAST_COUNT times are 0."""
-    c = counts @ _SMOOTH
-    c = np.where(c.sum(1, keepdims=True) >= LEAST_COUNT, c, 0)
-    out = np.zeros_like(c)
-    for k in range(len(_LANGUAGES)):
-        at = language == k
-        n = c[at].sum(0)
-        if not n.sum():
-            continue
-        rate = c[at].sum(1, keepdims=True) / n.sum()
-        weight = PRIOR * n.mean() / 1000
-        level = (c[at] + weight * rate) / (n + weight)
-        out[at] = np.where(rate > 0, np.log(np.maximum(level, 1e-12) / np.maximum(rate, 1e-12)), 0)
-    return out.astype(np.float32)
-
-
-def likelihood(offsets: np.ndarray, flat: np.ndarray, curve: np.ndarray) -> np.ndarray:
-    """Summed log ratios of the items of each document, per level."""
-    n = len(offsets) - 1
-    out = np.zeros((n, LEVELS))
-    if len(flat):
-        sums = np.vstack([np.zeros((1, LEVELS)), np.cumsum(curve[flat].astype(np.float64), axis=0)])
-        out = sums[offsets[1:]] - sums[offsets[:-1]]
-    return out
+def levels(offsets: np.ndarray, flat: np.ndarray, difficulty: np.ndarray) -> np.ndarray:
+    """The mean difficulty of the items of each document; 0 without items."""
+    sums = np.r_[0.0, np.cumsum(difficulty[flat].astype(np.float64))]
+    return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,78 +75,107 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
 
 
-def _statistics(rated: DataFrame, model: np.ndarray | None) -> np.ndarray:
-    """Beliefs about levels summed per fold and bucket: FOLDS x BUCKETS x (levels, then languages). With a model (per
-    fold), beliefs take the words of a document into account, by curves of the other folds."""
-    shared = rated.sparkSession.sparkContext.broadcast(model)  # FOLDS x BUCKETS x 5, or None
+def _pass(rated: DataFrame, mean: float, difficulty: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """One pass from documents to words: per bucket, the sum over its documents of weight / items x what the document
+    says, and how many there are. A document says its mean rating less the overall mean, or, given difficulties, its
+    level by them. At most BUCKETS rows come to the driver."""
+    shared = rated.sparkSession.sparkContext.broadcast(difficulty)
 
     def run(batches):  # noqa: ANN001, ANN202
-        total = np.zeros((FOLDS, BUCKETS, LEVELS), np.float64)
-        seen = np.zeros((BUCKETS, len(_LANGUAGES)), np.int64)
+        total, seen = np.zeros(BUCKETS), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            fold = b.column(0).to_numpy() % FOLDS
-            language = b.column(1).to_numpy()
-            offsets, flat = _lists(b.column(2))
-            marks = np.stack([b.column(3 + k).to_numpy() for k in range(LEVELS)], 1)
-            belief = marks @ _RATING.T
+            offsets, flat = _lists(b.column(0))
+            says, weight = b.column(1).to_numpy() - mean, b.column(2).to_numpy()
             if shared.value is not None:
-                words = np.zeros_like(belief)
-                for f in range(FOLDS):
-                    words[fold == f] = likelihood(offsets, flat, shared.value[f])[fold == f]
-                belief = belief + TEMPER * words
-            belief = softmax(belief)
-            doc = np.repeat(np.arange(len(fold)), np.diff(offsets))
-            key = fold[doc] * BUCKETS + flat
-            for q in range(LEVELS):
-                total[:, :, q] += np.bincount(key, weights=belief[doc, q], minlength=FOLDS * BUCKETS).reshape(FOLDS, BUCKETS)
-            np.add.at(seen, (flat, language[doc]), 1)
-        f, w = np.nonzero(total.sum(2))
-        cells = [pa.array((f * BUCKETS + w).astype(np.int64))] + [pa.array(total[f, w, q]) for q in range(LEVELS)] + [pa.array(np.where(f == f, seen[w, k], 0)) for k in range(len(_LANGUAGES))]
-        yield pa.RecordBatch.from_arrays(cells, names=["key", *[f"s{q}" for q in range(LEVELS)], *[f"n{k}" for k in range(len(_LANGUAGES))]])
-
-    sums = ", ".join(f"s{q} double" for q in range(LEVELS)) + ", " + ", ".join(f"n{k} long" for k in range(len(_LANGUAGES)))
-    names = [f"s{q}" for q in range(LEVELS)] + [f"n{k}" for k in range(len(_LANGUAGES))]
-    got = rated.mapInArrow(run, f"key long, {sums}").groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    out = np.zeros((FOLDS * BUCKETS, len(names)))
-    out[got.column("key").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names], 1)
-    return out.reshape(FOLDS, BUCKETS, len(names))
-
-
-def fit(rated: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The curves (BUCKETS x 5) after the given number of alternations. What comes to the driver are sums per fold and
-    bucket, at most FOLDS x BUCKETS rows, whatever the number of documents and words."""
-    model = None
-    for step in range(rounds):
-        stats = _statistics(rated, model)
-        language = stats[:, :, LEVELS:].sum(0).argmax(1)
-        whole = stats[:, :, :LEVELS].sum(0)
-        if step + 1 < rounds:
-            model = np.stack([curves(whole - stats[f, :, :LEVELS], language) for f in range(FOLDS)])
-    return curves(whole, language)
+                says = levels(offsets, flat, shared.value)
+            n = np.diff(offsets)
+            total += np.bincount(flat, weights=np.repeat(weight * says / np.maximum(n, 1), n), minlength=BUCKETS)
+            seen += np.bincount(flat, minlength=BUCKETS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(seen[at])], names=["key", "total", "seen"])
+
+    got = rated.select("items", "rating", "weight").mapInArrow(run, "key int, total double, seen long").groupBy("key").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).toArrow()
+    total, seen = np.zeros(BUCKETS), np.zeros(BUCKETS, np.int64)
+    total[got.column("key").to_numpy()], seen[got.column("key").to_numpy()] = got.column("total").to_numpy(), got.column("seen").to_numpy()
+    return total, seen
+
+
+def fit(rated: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """The overall mean and the difficulty of each bucket: the least squares of ratings against levels plus PRIOR
+    times the squared difficulties. Documents and words alternate: levels follow from difficulties, what they miss of
+    the ratings flows back to the words, along conjugate directions. Buckets of fewer than LEAST_COUNT rated documents
+    have difficulty 0."""
+    mean = rated.agg(F.sum(F.col("rating") * F.col("weight")) / F.sum("weight")).first()[0]
+    difficulty = np.zeros(BUCKETS)
+    if mean is None:
+        return 3.0, difficulty
+    rest, seen = _pass(rated, mean, None)
+    use = seen >= LEAST_COUNT
+    rest = rest * use
+    way, size = rest.copy(), float(rest @ rest)
+    for _ in range(rounds):
+        if size < 1e-18:
+            break
+        back = _pass(rated, mean, way)[0] * use + PRIOR * way
+        step = size / float(way @ back)
+        difficulty += step * way
+        rest -= step * back
+        size, before = float(rest @ rest), size
+        way = rest + size / before * way
+    return mean, difficulty
+
+
+def limits(rated: DataFrame, mean: float, difficulty: np.ndarray) -> np.ndarray:
+    """The four limits between grades on the scale of levels: those that agree with most ratings of the rated
+    documents, by coordinate search over a histogram of BINS bins per grade."""
+    shared = rated.sparkSession.sparkContext.broadcast(difficulty)
+    marks = [f"g{g}" for g in range(1, LEVELS + 1)]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        total = np.zeros((BINS, LEVELS), np.int64)
+        for b in batches:
+            at = np.clip(((mean + levels(*_lists(b.column(0)), shared.value)) / (LEVELS + 1) * BINS).astype(int), 0, BINS - 1)
+            for g in range(LEVELS):
+                total[:, g] += np.bincount(at, weights=b.column(1 + g).to_numpy(), minlength=BINS).astype(np.int64)
+        at = np.flatnonzero(total.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(total[at, g]) for g in range(LEVELS))], names=["key", *marks])
+
+    got = rated.select("items", *marks).mapInArrow(run, "key int, " + ", ".join(f"{m} long" for m in marks)).groupBy("key").agg(*[F.sum(m).alias(m) for m in marks]).toArrow()
+    counts = np.zeros((BINS, LEVELS))
+    counts[got.column("key").to_numpy()] = np.stack([got.column(m).to_numpy() for m in marks], 1)
+    below = np.vstack([np.zeros((1, LEVELS)), np.cumsum(counts, 0)])  # ratings below a bin's lower edge
+    cut = np.array([round((g + 0.5) / (LEVELS + 1) * BINS) for g in range(1, LEVELS)])
+    for _ in range(5):
+        for k in range(LEVELS - 1):
+            low, high = (cut[k - 1] if k else 0), (cut[k + 1] if k + 2 < LEVELS else BINS)
+            at = np.arange(low, high + 1)
+            agree = (below[at, k] - below[low, k]) + (below[high, k + 1] - below[at, k + 1])
+            best = np.flatnonzero(agree >= agree.max() - 1e-9)
+            cut[k] = at[best[np.abs(at[best] - cut[k]).argmin()]]
+    return cut / BINS * (LEVELS + 1)
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, grade (1 to 5, the likeliest level) and level (the expected one) of every document of at least
+    """doc_id, level (the latent one) and grade (1 to 5, by the limits that agree best with the raters) of every document of at least
     LEAST_WORDS words, words being runs of other than white space.
 
     docs has doc_id and text, labels has doc_id, rater and grade; other columns are left aside. All labelled documents
     fit the model, whole texts are read. Null, empty and short texts give no row, repeated documents repeated rows.
-    Raters who differ leave a belief over levels; identical label rows count once, null grades not at all. Without any
+    Raters who differ count by their mean; identical label rows count once, null grades not at all. Without any
     label every document comes out with grade 3 and level 3. Empty tables give an empty one.
     """
     feats = written(features(docs), "items")
     marks = [f"g{g}" for g in range(1, LEVELS + 1)]
-    rated = written(feats.join(ratings(labels), "doc_id").select("doc_id", "language", "items", *marks), "rated")
-    curve = fit(rated, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast(curve)  # BUCKETS x 5 32-bit numbers
-    known = bool(np.any(curve))
+    count = sum(F.col(m) for m in marks)
+    rating = sum(F.col(f"g{g}") * g for g in range(1, LEVELS + 1)) / count
+    rated = written(feats.join(ratings(labels), "doc_id").select("items", rating.alias("rating"), F.least(count, F.lit(MOST_RATINGS)).cast("double").alias("weight"), *marks), "rated")
+    mean, difficulty = fit(rated, rounds)
+    cut = limits(rated, mean, difficulty) if np.any(difficulty) else np.array([1.5, 2.5, 3.5, 4.5])
+    shared = docs.sparkSession.sparkContext.broadcast(difficulty.astype(np.float32))  # BUCKETS numbers
 
     def score(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            offsets, flat = _lists(b.column(1))
-            x = likelihood(offsets, flat, shared.value)
-            grade = x.argmax(1) + 1 if known else np.full(len(x), 3)
-            level = softmax(TEMPER * x) @ np.arange(1.0, LEVELS + 1) if known else np.full(len(x), 3.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grade.astype(np.int32)), pa.array(level)], names=["doc_id", "grade", "level"])
+            level = mean + levels(*_lists(b.column(1)), shared.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((np.searchsorted(cut, level, side="right") + 1).astype(np.int32)), pa.array(level)], names=["doc_id", "grade", "level"])
 
     return feats.select("doc_id", "items").mapInArrow(score, "doc_id long, grade int, level double")
