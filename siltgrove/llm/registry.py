@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leak, level, markup, mix, neardup, nearest, pairs, scans, split
+from . import leak, level, markup, mix, mixture, neardup, nearest, pairs, scans, split
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,16 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair(table(spark, sf_dir, "content_item"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the clusters of similar leaves."""
+    return mixture.members(table(spark, sf_dir, "nodes")).select("node_id", "cluster_id")
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster with its size and its most typical texts."""
+    return mixture.described(table(spark, sf_dir, "nodes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds whose response is no sound reply, with their defect."""
     return pairs.defects(table(spark, sf_dir, "state_log"))
@@ -162,7 +172,7 @@ where coalesce(s.n, 0) * m.max_repeats < m.target_share * (select sum(n) from d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares, p10_found, p10_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
