@@ -8,29 +8,66 @@ counted in each fragment on its own, and the counts are summed per pair. The res
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import written
 
 N, PERMILLE, FRAGMENTS = 3, 600, 8
-
-
-def grams(text: Column, n: int = N) -> Column:
-    """The distinct runs of n consecutive tokens of a text, as 64-bit hashes. Null or short texts give an empty
-    array."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+def gram_set(text: str, n: int = N) -> np.ndarray:
+    """The distinct runs of n consecutive tokens of a text, as sorted 64-bit hashes. Tokens are longest runs of letters
+    and digits of the lower-cased text."""
+    known: dict[str, int] = {}
+    tokens = _TOKEN.findall(text.lower())
+    if len(tokens) < n:
+        return np.zeros(0, np.int64)
+    h = np.fromiter((known[t] if t in known else known.setdefault(t, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in tokens), np.uint64, len(tokens))
+    size = len(tokens) - n + 1
+    out = np.full(size, 0x9E3779B97F4A7C15, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out ^= h[k : k + size]
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def gram_sets(docs: DataFrame, n: int = N) -> DataFrame:
+    """id, h1 and h2 (128 bits that stand for the text) and g, the gram set, of each row of docs (id, text) that has
+    one. Whole texts, in one pass, without a shuffle."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            ids, sets, marks = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                g = gram_set(t, n)
+                if len(g):
+                    ids.append(i)
+                    sets.append(g)
+                    marks.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
+            offsets = np.r_[0, np.cumsum([len(g) for g in sets])].astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            h = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "h1", "h2", "g"])
+
+    return docs.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, h1 long, h2 long, g array<long>")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """id, rep and n: sets that are equal form a class, named by its least id; n is the size of the set. docs has id
-    and g, the set."""
-    keyed = docs.where("size(g) > 0").select("id", F.size("g").alias("n"), F.xxhash64(F.array_sort("g")).alias("h1"), F.hash(F.array_sort("g")).alias("h2"))
-    least = keyed.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    return keyed.join(least, ["n", "h1", "h2"]).select("id", "rep", "n")
+    """id, rep and n of each row of gram_sets(): rows of one and the same text form a class, named by its least id; n
+    is the size of its set."""
+    keyed = docs.select("id", F.size("g").alias("n"), "h1", "h2")
+    least = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    return keyed.join(least, ["h1", "h2"]).select("id", "rep", "n")
 
 
 def similar(sets: DataFrame, permille: int = PERMILLE, fragments: int = FRAGMENTS) -> DataFrame:
@@ -68,13 +105,13 @@ def similar(sets: DataFrame, permille: int = PERMILLE, fragments: int = FRAGMENT
 
 
 def near_duplicates(docs: DataFrame, n: int = N, permille: int = PERMILLE, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal gram sets (id, rep, n) and the pairs (a < b, common) of similar classes, named by rep.
+    """Classes of exact copies (id, rep, n) and the pairs (a < b, common) of similar classes, named by rep.
 
     docs has id and text; other columns are left aside. Rows of one id count once (they carry the same text); null
     ids are left out. Texts under n tokens, null and empty ones have no grams and are in no class. Whole texts are
     used, however long. A group of copies is one class, whatever its size, and is never expanded into pairs here.
     """
-    sets = written(docs.where("id is not null").dropDuplicates(["id"]).select("id", grams(F.col("text"), n).alias("g")).where("size(g) > 0"), "grams")
+    sets = written(gram_sets(docs, n).dropDuplicates(["id"]), "grams")
     member = written(classes(sets), "classes")
     reps = sets.join(member.where("id = rep").select("id", "n"), "id").select(F.col("id").alias("rep"), "n", "g")
     return member, similar(reps, permille, fragments)
@@ -86,9 +123,9 @@ def events(wcep: DataFrame) -> DataFrame:
 
 
 def event_pairs(wcep: DataFrame) -> DataFrame:
-    """sample_a < sample_b of similar events. Copies whose sets are equal stand for one another: their class gives a
-    pair of its least id and each copy, and only the least id is in pairs with other classes; event_groups has the
-    members."""
+    """sample_a < sample_b of similar events. Events of exactly the same text stand for one another: their class gives
+    a pair of its least id and each copy, and only the least id is in pairs with other texts; event_groups has the
+    members. Every pair of different texts comes out, equal sets included."""
     member, pairs = near_duplicates(events(wcep))
     copies = member.where("id <> rep").select(F.col("rep").alias("sample_a"), F.col("id").alias("sample_b"))
     return pairs.select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b")).unionByName(copies)
