@@ -40,15 +40,22 @@ def f1(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     return t.groupBy("query_id").agg(F.max(f_measure(overlap(F.col("p"), F.col("g")), F.size("p"), F.size("g"))).alias("f1"))
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Runs of n words of letters and digits of the lower-cased text."""
-    t = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def plain_words(text: Column) -> Column:
+    """Runs of letters and digits (ASCII) of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """Runs of n of an array's words. words should be a column that has been worked out before, as it is read once
+    per run."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
 def rouge_n(predictions: DataFrame, gold: DataFrame, n: int) -> DataFrame:
     """query_id, precision, recall and f of n-grams, each its best over the gold answers."""
-    t = pairs(predictions, gold).select("query_id", ngrams(F.col("prediction"), n).alias("p"), ngrams(F.col("answer"), n).alias("g"))
+    w = pairs(predictions, gold).select("query_id", plain_words(F.col("prediction")).alias("p"), plain_words(F.col("answer")).alias("g"))
+    t = w if n == 1 else w.select("query_id", ngrams(F.col("p"), n).alias("p"), ngrams(F.col("g"), n).alias("g"))
     h = t.select("query_id", overlap(F.col("p"), F.col("g")).alias("h"), F.size("p").alias("np"), F.size("g").alias("ng"))
     return h.groupBy("query_id").agg(
         F.max(F.when(F.col("np") > 0, F.col("h") / F.col("np")).otherwise(0.0)).alias("precision"),
@@ -74,7 +81,7 @@ def rouge_l(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
-    t = pairs(predictions, gold).select("query_id", ngrams(F.col("prediction"), 1).alias("p"), ngrams(F.col("answer"), 1).alias("g"))
+    t = pairs(predictions, gold).select("query_id", plain_words(F.col("prediction")).alias("p"), plain_words(F.col("answer")).alias("g"))
     h = t.select("query_id", common("p", "g").alias("h"), F.size("p").alias("np"), F.size("g").alias("ng"))
     return h.groupBy("query_id").agg(
         F.max(F.when(F.col("np") > 0, F.col("h") / F.col("np")).otherwise(0.0)).alias("precision"),
