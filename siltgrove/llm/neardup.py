@@ -123,12 +123,19 @@ def events(wcep: DataFrame) -> DataFrame:
 
 
 def event_pairs(wcep: DataFrame) -> DataFrame:
-    """sample_a < sample_b of similar events. Events of exactly the same text stand for one another: their class gives
-    a pair of its least id and each copy, and only the least id is in pairs with other texts; event_groups has the
-    members. Every pair of different texts comes out, equal sets included."""
+    """sample_a < sample_b of similar events. Every pair of different texts comes out, equal gram sets included.
+
+    Events of exactly the same text are a class, named by its least id. A class gives pairs of that id and each copy;
+    a link between two classes gives the pairs of each one's copies with the other's least id. So the rows grow with
+    the copies, not with their square; event_groups has the members of all classes."""
     member, pairs = near_duplicates(events(wcep))
-    copies = member.where("id <> rep").select(F.col("rep").alias("sample_a"), F.col("id").alias("sample_b"))
-    return pairs.select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b")).unionByName(copies)
+    pairs = written(pairs.select("a", "b"), "pairs")
+    of = member.select("id", "rep")
+    left = pairs.join(of.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").select("x", F.col("b").alias("y"))
+    right = pairs.join(of.select(F.col("rep").alias("b"), F.col("id").alias("x")), "b").select("x", F.col("a").alias("y"))
+    copies = of.where("id <> rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    every = left.unionByName(right).unionByName(copies)
+    return every.select(F.least("x", "y").alias("sample_a"), F.greatest("x", "y").alias("sample_b")).distinct()
 
 
 def event_groups(wcep: DataFrame) -> DataFrame:
