@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..config import Config
 from ..functions.text import annotated, node_text
@@ -18,8 +20,6 @@ SPAN = 65_536
 def leaves_of(docs: DataFrame, conf: Config) -> DataFrame:
     """tree_id, node_id, document_index, chunk_index, text and embedding of every chunk. Without passage_as_tree all
     chunks are leaves of tree 0; ids are ordinals in document and chunk order within a tree."""
-    from pyspark.sql.window import Window as W
-
     cut = chunking.chunks(docs, conf.max_tokens_per_chunk) if conf.force_split or conf.passage_as_tree else docs.select("doc_id", F.lit(0).alias("chunk_index"), "text")
     named = cut.withColumn("tree_id", (F.col("doc_id") if conf.passage_as_tree else F.lit(0)).cast("int"))
     # Ordinals from counts: per span of documents first, then within each span, so that no task sees them all.
@@ -88,9 +88,6 @@ def retrieve(nodes: DataFrame, edges: DataFrame, questions: DataFrame, conf: Con
         fused = ranking.fuse(both, "text", conf.rrf_k, conf.rerank_top_k)
         ids = both[0].unionByName(both[-1]).groupBy("query_id", "text").agg(F.min("node_id").alias("node_id"))
         return fused.join(ids, ["query_id", "text"]).select("query_id", "text", "rank", "node_id")
-    import pandas as pd
-    from pyspark.sql.window import Window as W
-
     @F.pandas_udf("double")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
         model = OverlapReranker()

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +64,6 @@ def read_bytes(spark: SparkSession, path: str, recursive: bool = False) -> DataF
 def parse(files: DataFrame, parser: Callable[[bytes], list[str]], cache: str | None = None) -> DataFrame:
     """title and chunks of each file: from the cache where it has the path, else by the parser, whose results are
     added to the cache. A file that won't parse has null chunks."""
-    import pandas as pd
-
     spark = files.sparkSession
 
     @F.pandas_udf("array<string>")
