@@ -256,7 +256,7 @@ def from_latex(text: str) -> str:
 
 
 def from_wiki(text: str) -> str:
-    text = re.sub(r"^\{\|.*$|^\|\}.*$|^\|-.*$|^\|\+", "", text, flags=re.M)
+    text = re.sub(r"^(?:\{\||\|\}|\|-).*(?:\n|\Z)|^\|\+", "", text, flags=re.M)
     text = re.sub(r"^[!|]\s*(.*)$", lambda m: re.sub(r"\s*(?:!!|\|\|)\s*", " | ", m[1]), text, flags=re.M)
     text = re.sub(r"^(={2,6})\s*(.*?)\s*\1[ \t]*$", lambda m: "#" * (len(m[1]) - 1) + " " + m[2], text, flags=re.M)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)

@@ -86,7 +86,7 @@ def cuts(starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray, first: np.ndar
         return np.where(out < 0, f, out)
 
     # Where the piece after a cut starts: at the first sentence start within the overlap, else at its first word.
-    back = np.maximum(at - overlap + 1, low)
+    back = np.minimum(np.maximum(at - overlap + 1, low), high)
     opens = np.zeros(n, bool)
     opens[1:] = ranks[:-1] >= 2
     begin = _next(opens)[back] if n else at
