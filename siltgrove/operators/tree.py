@@ -127,6 +127,38 @@ def grow(x: np.ndarray, most: int | None = MAX_CHILDREN) -> tuple[list[int], lis
     return parent, layer, prototypes(parent, layer, x)
 
 
+def grow_from_links(x: np.ndarray, links: list[tuple[int, int]], most: int | None = MAX_CHILDREN) -> tuple[list[int], list[int], np.ndarray]:
+    """The tree over the rows of x when only some pairs are known (those of near neighbours): what they leave apart is
+    joined first, each component to the largest one by the best dot product between the two."""
+    n = len(x)
+    label = np.arange(n)
+
+    def find(a: int) -> int:
+        while label[a] != a:
+            label[a] = label[label[a]]
+            a = label[a]
+        return a
+
+    known = {(max(a, b), min(a, b)) for a, b in links if a != b}
+    for a, b in known:
+        a, b = find(a), find(b)
+        if a != b:
+            label[max(a, b)] = min(a, b)
+    roots = np.array([find(k) for k in range(n)])
+    names, sizes = np.unique(roots, return_counts=True)
+    anchor = np.flatnonzero(roots == names[sizes.argmax()]) if n else roots
+    for name in names:
+        own = np.flatnonzero(roots == name)
+        if own[0] != anchor[0]:
+            s = x[own] @ x[anchor].T
+            i, j = np.unravel_index(int(s.argmax()), s.shape)
+            known.add((max(int(own[i]), int(anchor[j])), min(int(own[i]), int(anchor[j]))))
+    ranked = sorted(((float(x[u] @ x[v]), u, v) for u, v in known), key=lambda e: (-e[0], e[1], e[2]))
+    parent, layer = layered_merge(n, [(u, v) for _, u, v in ranked])
+    rebalance(parent, layer, most)
+    return parent, layer, prototypes(parent, layer, x)
+
+
 def _frame(tree: int, ids: np.ndarray, parent: list[int], layer: list[int], emb: np.ndarray, base: int) -> pd.DataFrame:
     """Nodes as rows: leaves keep their ids, inner nodes are numbered from base."""
     n = len(ids)
@@ -135,23 +167,68 @@ def _frame(tree: int, ids: np.ndarray, parent: list[int], layer: list[int], emb:
     return pd.DataFrame({"tree_id": tree, "node_id": number, "layer": layer, "parent_id": pd.array(up, "Int64"), "embedding": list(emb)})
 
 
+def star(n: int) -> tuple[list[int], list[int]]:
+    """Parents and layers of n leaves under one root: the shape of a tree that can't be built otherwise."""
+    return [n] * n + [-1], [0] * n + [1]
+
+
 def forest(leaves: DataFrame, most: int | None = MAX_CHILDREN) -> DataFrame:
     """The nodes (tree_id, node_id, layer, parent_id, embedding) of one tree per tree_id, built in parallel.
 
     leaves has tree_id, node_id (unique in its tree) and embedding; null vectors are left out; rows of one node_id
     count once. Inner nodes are numbered per tree from the tree's greatest leaf id on, so ids are unique in a tree.
+    A tree whose vectors have several lengths becomes a star under one root without an embedding.
     For trees of up to a few ten thousand leaves; larger ones go through bucketed_tree.
     """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node_id").sort_values("node_id")
-        x = np.array(pdf["embedding"].tolist(), np.float64)
         ids = pdf["node_id"].to_numpy()
-        return _frame(int(pdf["tree_id"].iloc[0]), ids, *grow(x, most), base=int(ids.max()) + 1)
+        try:
+            parts = grow(np.array(pdf["embedding"].tolist(), np.float64), most)
+        except ValueError:  # vectors of several lengths
+            parent, layer = star(len(ids))
+            parts = parent, layer, [*pdf["embedding"], None]
+        return _frame(int(pdf["tree_id"].iloc[0]), ids, *parts, base=int(ids.max()) + 1)
 
     return leaves.where("embedding is not null and node_id is not null").select("tree_id", "node_id", F.col("embedding").cast("array<double>").alias("embedding")).groupBy("tree_id").applyInPandas(build, NODES)
 
 
+def neighbour_tree(leaves: DataFrame, k: int = 32, most: int | None = MAX_CHILDREN, tree_id: int = 0) -> DataFrame:
+    """The nodes of one tree from the links of each leaf with its k nearest others, by cosine, ranked by dot product.
+    The links are found in parallel and folded in one task; for more leaves than that holds, see bucketed_tree."""
+    from .nearest import search
+
+    rows = leaves.where("embedding is not null").dropDuplicates(["node_id"]).select(F.col("node_id").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    near = search(rows, rows, k, include_self=False).groupBy(F.col("query_id").alias("vec_id")).agg(F.collect_list("vec_id").alias("near"))
+    joined = rows.join(near, "vec_id", "left").withColumn("tree_id", F.lit(tree_id))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        ids = pdf["vec_id"].to_numpy()
+        at = {int(i): k for k, i in enumerate(ids)}
+        links = [(at[int(a)], at[int(b)]) for a, bs in zip(ids, pdf["near"]) if bs is not None for b in bs]
+        return _frame(tree_id, ids, *grow_from_links(np.array(pdf["embedding"].tolist(), np.float64), links, most), base=int(ids.max()) + 1)
+
+    return joined.groupBy("tree_id").applyInPandas(build, NODES)
+
+
+def document_tree(leaves: DataFrame, most: int | None = MAX_CHILDREN, bucket: int = BUCKET, tree_id: int = 0) -> DataFrame:
+    """The nodes of one tree whose first layer are the documents: a node per document_index over its leaves, with their
+    mean, and a tree over those (in buckets, if they are more than one holds). leaves has node_id, document_index and
+    embedding; leaves without a document are left out. Ids are unique; rebalancing leaves the documents whole."""
+    from .nearest import prototypes as means
+
+    rows = written(leaves.where("embedding is not null and document_index is not null").dropDuplicates(["node_id"]).select("node_id", "document_index", F.col("embedding").cast("array<double>").alias("embedding")), "rows")
+    base = (rows.agg(F.max("node_id")).first()[0] or 0) + 1
+    docs = written(means(rows, "document_index").select((F.col("document_index") + base).cast("long").alias("node_id"), "embedding"), "documents")
+    n = docs.count()
+    upper = bucketed_tree(docs, bucket, most, tree_id) if n > bucket else forest(docs.withColumn("tree_id", F.lit(tree_id)), most)
+    upper = upper.select("tree_id", "node_id", (F.col("layer") + 1).alias("layer"), "parent_id", "embedding")
+    below = rows.select(F.lit(tree_id).alias("tree_id"), "node_id", F.lit(0).alias("layer"), (F.col("document_index") + base).cast("long").alias("parent_id"), "embedding")
+    return below.unionByName(upper)
+
+
 def partition(leaves: DataFrame, bucket: int = BUCKET, fanout: int = FANOUT, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """leaves with `bucket`, so that no bucket holds more than so many vectors: oversized parts are divided among
     centres (evenly spaced rows of an evenly spaced sample of bounded size, moved `rounds` times to the mean direction

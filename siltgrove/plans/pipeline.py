@@ -36,8 +36,14 @@ def leaves_of(docs: DataFrame, conf: Config) -> DataFrame:
 def build(docs: DataFrame, conf: Config) -> tuple[DataFrame, DataFrame]:
     """Nodes (tree_id, node_id, layer, parent_id, document_index, chunk_index, text, embedding) and edges."""
     leaves = written(leaves_of(docs, conf), "leaves")
-    if conf.bucket_size and not conf.passage_as_tree:
+    if conf.passage_as_tree:
+        shape = tree.forest(leaves, conf.max_num_children)
+    elif conf.force_split and not conf.reorganize_leaf:
+        shape = tree.document_tree(leaves, conf.max_num_children, conf.bucket_size or tree.BUCKET)
+    elif conf.bucket_size:
         shape = tree.bucketed_tree(leaves.select("node_id", "embedding"), conf.bucket_size, conf.max_num_children)
+    elif conf.tree_builder == "knn":
+        shape = tree.neighbour_tree(leaves, conf.knn, conf.max_num_children)
     else:
         shape = tree.forest(leaves, conf.max_num_children)
     shape = written(shape, "shape")

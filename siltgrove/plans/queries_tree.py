@@ -86,6 +86,17 @@ def bucketed_health(spark: SparkSession, d: str) -> DataFrame:
     return tree.health(written(tree.bucketed_tree(_leaves(spark, d), 128), "tree")).select("tree_id", "leaves", "roots", "misplaced", "childless")
 
 
+def neighbours_health(spark: SparkSession, d: str) -> DataFrame:
+    """A tree over all vectors from links with eight neighbours each, checked."""
+    return tree.health(written(tree.neighbour_tree(_leaves(spark, d), 8), "tree")).select("tree_id", "leaves", "roots", "misplaced", "childless")
+
+
+def documents_health(spark: SparkSession, d: str) -> DataFrame:
+    """A tree over all vectors whose first layer are their labels, checked."""
+    rows = _leaves(spark, d).withColumnRenamed("tree_id", "document_index")
+    return tree.health(written(tree.document_tree(rows), "tree")).select("tree_id", "leaves", "roots", "misplaced", "childless")
+
+
 def bucket_sizes(spark: SparkSession, d: str) -> DataFrame:
     return tree.partition(_leaves(spark, d), 128).groupBy("bucket").agg(F.count("*").alias("n"))
 
@@ -159,9 +170,11 @@ select query_id, tree_id, rank, node_id, round((1 + c) / 2, 6) as score from (
   from embeddings q join embeddings b on q.label = b.label and q.vec_id % 100 = 0) where rank <= 5""",
     "forest_health": _HEALTH.format("label") + " group by label",
     "bucketed_health": _HEALTH.format("0"),
+    "neighbours_health": _HEALTH.format("0"),
+    "documents_health": _HEALTH.format("0"),
     "smoke_pricing": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
     "smoke_nations": "select n_name, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
     "smoke_events": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1",
 }
 
-QUERIES = (tree_layer_counts, tree_child_stats, tree_token_stats, tree_heights, tree_report, tree_ancestors, tree_starts, tree_roots, tree_components, tree_beam, tree_flat, forest_nodes, forest_health, bucketed_health, bucket_sizes, index_build, agent_answers, smoke_pricing, smoke_nations, smoke_events)
+QUERIES = (tree_layer_counts, tree_child_stats, tree_token_stats, tree_heights, tree_report, tree_ancestors, tree_starts, tree_roots, tree_components, tree_beam, tree_flat, forest_nodes, forest_health, bucketed_health, neighbours_health, documents_health, bucket_sizes, index_build, agent_answers, smoke_pricing, smoke_nations, smoke_events)

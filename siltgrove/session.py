@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) is a folder of our own chosen."""
+    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only in local mode (tests on one
+    machine), where that may be unset, is a folder of our own chosen."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     held = getattr(spark, "_siltgrove_dir", None)
     if held is None:
         held = os.path.join(tempfile.gettempdir(), f"siltgrove-{os.getpid()}-{uuid.uuid4().hex[:8]}")
@@ -42,6 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/siltgrove/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote with written(). For the end of a run: tables that were read from
+    there can't be read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -54,6 +67,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as Parquet below the shared folder and read back. For tables that several jobs
     read: compressed, column-pruned on reading, and still there after an executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siltgrove/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -317,3 +317,27 @@ def test_catalog_names():
     from siltgrove import catalog
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_other_builders(spark, tmp_path):
+    df = leaves(spark, 40)
+    for shape in (tree.neighbour_tree(df, 2), tree.document_tree(df.withColumn("document_index", (F.col("node_id") % 7).cast("int")))):
+        r = tree.health(shape).first()
+        assert (r.leaves, r.roots, r.misplaced, r.childless) == (40, 1, 0, 0)
+    parent, layer, _ = tree.grow_from_links(np.array([[1.0, 0], [1, 0.1], [0, 1], [0.1, 1]]), [(0, 1), (2, 3)])
+    assert sum(p < 0 for p in parent) == 1
+    odd = spark.createDataFrame([(0, 1, [1.0, 2.0]), (0, 2, [1.0])], "tree_id int, node_id long, embedding array<double>")
+    assert tree.health(tree.forest(odd)).first().roots == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siltgrove import __main__ as cli
+
+    (tmp_path / "m_corpus.json").write_text(json.dumps([{"title": f"T{k}", "text": f"The mill of place{k} is old."} for k in range(6)]))
+    (tmp_path / "m.json").write_text(json.dumps([{"question": "What of place3?", "answer": "The mill of place3 is old"}]))
+    base = ["--dataset", "m", "--data_dir", str(tmp_path), "--save_dir", str(tmp_path / "out"), "--log_path", str(tmp_path / "log"), "--max_retrieval_time", "1"]
+    assert cli.main(["all", *base]) == 0 and "'em': " in capsys.readouterr().out
+    assert cli.main(["ask", "-q", "What of place2?", *base]) == 0 and "place2" in capsys.readouterr().out
+    assert cli.main(["inspect", "--layer", "0", *base]) == 0 and "node_id" in capsys.readouterr().out
+    assert cli.main(["nothing"]) == 2 and (tmp_path / "log" / "m.log").exists()
+    assert cli.history_text([("user", "a")], "b").startswith("Conversation history:\nUser: a")
