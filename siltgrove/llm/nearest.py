@@ -23,7 +23,7 @@ WIDTH = 64
 LIST, GROUP, MAX_LISTS, PER_LIST = 512, 12_000, 8192, 32
 PROBES, CODEBOOKS, CODES, BEAM = 8, 8, 256, 2
 #: Candidates of a list that are reranked: of the nearest list, the next two and the others.
-SHORT = (448, 320, 192)
+SHORT = (512, 448, 320)
 #: Queries whose look-up tables are held at a time.
 BLOCK = 2048
 #: Groups that a vector visits as a query.
@@ -102,20 +102,20 @@ class Index:
         """Codes by beam search over the codebooks, and the squared norm of each reconstruction."""
         c = self.centres[own]
         dots = (x - c) @ self.books.T  # of the residual with every codeword
-        half = 0.5 * np.diag(self.gram)
+        half = (0.5 * np.diag(self.gram)).astype(np.float32)
         n, rows = len(x), np.arange(len(x))[:, None]
         codes = np.zeros((n, 1, 0), np.int64)
-        gain = np.zeros((n, 1))
-        cross = np.zeros((n, 1, dots.shape[1]), np.float32)  # of the codewords so far with every codeword
+        gain = np.zeros((n, 1), np.float32)
+        cross = np.zeros((n, 1, dots.shape[1]), np.float32)  # of the codewords so far with those of the books to come
         for m in range(CODEBOOKS):
             at = slice(m * CODES, (m + 1) * CODES)
-            score = gain[:, :, None] + (dots[:, None, at] - half[at] - cross[:, :, at])
+            score = gain[:, :, None] + (dots[:, None, at] - half[at] - cross[:, :, :CODES])
             flat = score.reshape(n, -1)
             best = np.argpartition(-flat, min(BEAM, flat.shape[1]) - 1, axis=1)[:, :BEAM]
             gain = np.take_along_axis(flat, best, 1)
             beam, word = best // CODES, best % CODES
             codes = np.concatenate([codes[rows, beam], (word + m * CODES)[:, :, None]], axis=2)
-            cross = cross[rows, beam] + self.gram[word + m * CODES]
+            cross = cross[:, :, CODES:][rows, beam] + self.gram[word + m * CODES, (m + 1) * CODES :]
         pick = gain.argmax(1)
         code = codes[np.arange(n), pick]
         built = c + self.books[code].sum(1)
@@ -134,7 +134,7 @@ def search(ids: np.ndarray, x: np.ndarray, own: np.ndarray, probes: np.ndarray,
     asking = asking[np.argsort(probes[asking].max(1), kind="stable")]
     out_q, out_c, out_s = [], [], []
     for block in (asking[k : k + BLOCK] for k in range(0, len(asking), BLOCK)):
-        tables = (x[block] @ books.T).astype(np.float32)
+        tables = x[block] @ books.T
         row, slot = np.nonzero(probes[block] >= 0)
         asked = probes[block][row, slot] * 3 + np.minimum((slot + 1) // 2, 2)  # by list and tier of the list
         order = np.argsort(asked, kind="stable")
@@ -147,13 +147,18 @@ def search(ids: np.ndarray, x: np.ndarray, own: np.ndarray, probes: np.ndarray,
                 continue
             members, t, qs = base[first[at] : last[at]], tables[row[lo:hi]], block[row[lo:hi]]
             for ms in (members[k : k + 8192] for k in range(0, len(members), 8192)):
-                score = np.broadcast_to(-0.5 * norms[ms], (len(qs), len(ms))).copy()
-                for m in range(codes.shape[1]):
-                    score += np.take(t, codes[ms, m], axis=1)
                 short = min(most, len(ms))
+                if short < len(ms):
+                    score = np.take(t, codes[ms, 0], axis=1)
+                    for m in range(1, codes.shape[1]):
+                        score += np.take(t, codes[ms, m], axis=1)
+                    score -= 0.5 * norms[ms]
                 top = np.argpartition(-score, short - 1, axis=1)[:, :short] if short < len(ms) else np.tile(np.arange(len(ms)), (len(qs), 1))
                 cand = ms[top]
-                sims = np.matmul(x[cand], x[qs][:, :, None])[:, :, 0]
+                if short * 8 > len(ms):  # many of them: the product of the whole block costs less than gathering them
+                    sims = np.take_along_axis(x[qs] @ x[ms].T, top, axis=1)
+                else:
+                    sims = np.matmul(x[cand], x[qs][:, :, None])[:, :, 0]
                 sims = np.where(ids[cand] == ids[qs][:, None], -9, sims)
                 k = min(keep, short)
                 best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < short else np.tile(np.arange(short), (len(qs), 1))
