@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("siltgrove")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -22,6 +26,24 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_siltgrove_shipped", False):
+        return
+    context._siltgrove_shipped = True
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="siltgrove-code-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file while it lives
+    archive = Path(folder, "siltgrove.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("siltgrove", f.relative_to(root)))
+    context.addPyFile(str(archive))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
