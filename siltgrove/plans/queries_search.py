@@ -42,7 +42,7 @@ def bm25_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d, 10).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return _hits(spark, d, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
 
 
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.distinct_texts(_hits(spark, d, 25), _docs(spark, d), 5).select("query_id", "rank", "doc_id")
+    return bm25.distinct_texts(_hits(spark, d, 25), _docs(spark, d), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id")
 
 
 def rank_fused(spark: SparkSession, d: str) -> DataFrame:

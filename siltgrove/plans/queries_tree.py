@@ -21,7 +21,7 @@ def tree_child_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_token_stats(spark: SparkSession, d: str) -> DataFrame:
-    return inspect.token_stats(table(spark, d, "nodes"))
+    return inspect.token_stats(table(spark, d, "nodes")).withColumns({c: F.col(c).cast("long") for c in ("least_words", "most_words")})
 
 
 def tree_heights(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def tree_flat(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "embeddings").select(F.col("label").alias("tree_id"), F.col("vec_id").alias("node_id"), F.lit(0).alias("layer"), "embedding")
     q = n.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "tree_id", "embedding")
     none = spark.createDataFrame([], "tree_id int, parent_id long, child_id long")
-    return tree.beam_search(n, none, q, 5, 0).select("query_id", "tree_id", "rank", "node_id", F.round("score", 6).alias("score"))
+    return tree.beam_search(n, none, q, 5, 0).select("query_id", "tree_id", F.col("rank").cast("long").alias("rank"), "node_id", F.round("score", 6).alias("score"))
 
 
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def smoke_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_id", "event_type")
 
 
-_HEALTH = "select {} as tree_id, count(*) as leaves, 1 as roots, 0 as misplaced, 0 as childless from embeddings"
+_HEALTH = "select {} as tree_id, count(*) as leaves, 1::bigint as roots, 0::bigint as misplaced, 0::bigint as childless from embeddings"
 SQL = {
     "tree_layer_counts": "select tree_id, layer, count(distinct node_id) as n from nodes group by 1, 2",
     "tree_child_stats": """

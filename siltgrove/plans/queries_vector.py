@@ -15,7 +15,7 @@ def _top(metric: str):  # noqa: ANN202
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = table(spark, d, "embeddings")
         found = nearest.search(e, nearest.every_hundredth(e), 5, metric)
-        return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+        return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
 
     run.__name__ = f"vec_{metric}_topk"
     return run
@@ -42,7 +42,7 @@ def vec_top_links(spark: SparkSession, d: str) -> DataFrame:
     """The hundred most similar pairs, ranked."""
     e = table(spark, d, "embeddings")
     links = nearest.undirected(nearest.search(e, e, 8, "dot", include_self=False)).orderBy(F.desc("similarity"), "u", "v").limit(100)
-    return links.select(F.row_number().over(W.orderBy(F.desc("similarity"), "u", "v")).alias("rank"), "u", "v", F.round("similarity", 6).alias("similarity"))
+    return links.select(F.row_number().over(W.orderBy(F.desc("similarity"), "u", "v")).cast("long").alias("rank"), "u", "v", F.round("similarity", 6).alias("similarity"))
 
 
 def vec_normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def vec_distinct(spark: SparkSession, d: str) -> DataFrame:
 def vec_prototypes(spark: SparkSession, d: str) -> DataFrame:
     """Mean vectors by label, rounded, one row per element."""
     p = nearest.prototypes(table(spark, d, "embeddings"), "label")
-    return p.select("label", F.posexplode("embedding").alias("at", "x")).select("label", "at", F.round("x", 6).alias("x"))
+    return p.select("label", F.posexplode("embedding").alias("at", "x")).select("label", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
 
 
 def vec_nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
