@@ -37,6 +37,8 @@ _TAIL = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{MARKS}])[ \t]*$")
 _HEAD = re.compile(r"[ \t]*([^\W\d_][^\W_]*(?:-[^\W_]+)*)")
 _PAGE = re.compile(r"\s*(?:(?:page|seite|página|pagina|pág\.|p\.|s\.)\s*(\d{1,5})(?:\s*(?:of|von|de|sur|/)\s*\d{1,5})?|(\d{1,5})\s*(?:/|of|von|de|sur)\s*\d{1,5}|[-–—·|\[(]\s*(\d{1,5})\s*[-–—·|\])]|(\d{1,5})|([ivxlcdm]{1,9}))\s*", re.I)
 _CHAPTER = re.compile(rf"[\W\d_]*(?:{CHAPTER})\s+(?:\d+|[ivxlc]+)\s*[:.–—-]\s*\S.{{0,70}}", re.I)
+_SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S ){4,}\S")
+_PARTS = re.compile(r"[·|•]")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 #: Smoothing of the word model, and weight of the unigram in the bigram model.
 ALPHA, KAPPA = 0.05, 20.0
@@ -59,6 +61,16 @@ def is_page_number(line: str, page: int | None) -> bool:
     return True
 
 
+def is_chapter(line: str) -> bool:
+    """Whether a line, or a part of it between ornaments, is the name of a numbered chapter. Letters may be spaced out."""
+    line = line.strip()
+    if line.endswith((".", "!", "?")):
+        return False
+    if _SPACED.search(line):
+        line = re.sub(r"(?<=\S) (?=\S)", "", line)
+    return any(_CHAPTER.fullmatch(part.strip(" \t—–-")) for part in _PARTS.split(line))
+
+
 def letters(text: Column) -> Column:
     """The letters of a line, lower-cased: what two lines that name the same thing have in common."""
     return F.regexp_replace(F.lower(text), "[^\\p{L}]+", "")
@@ -79,7 +91,8 @@ def running_heads(items: DataFrame, content: DataFrame) -> DataFrame:
     named = F.when((F.col("item_type") == "header") | (F.col("text_level") > 0), F.col("text"))
     names = content.select("pdf_id", F.explode(F.array("title", named)).alias("name")).select("pdf_id", letters(F.col("name")).alias("key")).where("length(key) >= 4").distinct()
     lines = items.where("target").select("item_id", "field", "pdf_id", F.posexplode(F.split("text", BREAK)).alias("line", "s")).where("length(s) <= 300")
-    keyed = lines.select("item_id", "field", "pdf_id", "line", letters(F.col("s")).alias("key")).where("length(key) >= 4")
+    parts = F.array_union(F.array("s"), F.split("s", "[·|•]"))  # the whole line, or a part of it between ornaments
+    keyed = lines.select("item_id", "field", "pdf_id", "line", F.explode(parts).alias("s")).select("item_id", "field", "pdf_id", "line", letters(F.col("s")).alias("key")).where("length(key) >= 4")
     return keyed.join(names, ["pdf_id", "key"]).groupBy("item_id", "field").agg(F.collect_set("line").alias("heads"))
 
 
@@ -88,7 +101,7 @@ def parse(text: str, heads: set[int], page: int | None, noisy: bool = True):  #
     compounds and the breaks: (line among those that stay, joined word, compound, mark)."""
     kept, defects = [], set()
     for k, line in enumerate(_LINE.split(text)):
-        if noisy and (k in heads or _CHAPTER.fullmatch(line.strip(" \t—–-|·")) and not line.rstrip().endswith((".", "!", "?"))):
+        if noisy and (k in heads or is_chapter(line)):
             defects.add("running_head")
         elif noisy and is_page_number(line, page):
             defects.add("page_number")
