@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from . import config
+from .functions.text import CURRENT, HISTORY
 from .operators import evaluate, inspect
 from .plans import pipeline
 from .session import local_session
@@ -36,7 +37,7 @@ def history_text(turns: list[tuple[str, str]], question: str) -> str:
     """A question with the conversation before it; see functions.text.history for the Column."""
     if not turns:
         return question
-    return "Conversation history:\n" + "\n".join(f"{r.capitalize()}: {c}" for r, c in turns) + f"\n\nCurrent question: {question}"
+    return HISTORY + "\n".join(f"{r.capitalize()}: {c}" for r, c in turns) + CURRENT + question
 
 
 def ask(spark, conf, at: str, question: str, tree_id: int = 0, update: bool = False, store_path: str | None = None) -> str:  # noqa: ANN001

@@ -8,13 +8,16 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that answers are compared without, entities written out, what transcripts mark up.
+# Characters that answers are compared without, what transcripts mark up, items that are furniture of a
+# page, forms of a conversation before a question, marks of a context's origin.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TRANSCRIPT = (
     ("{vocalsound}", ""), ("{disfmarker}", ""), ("A_M_I_", "ami"), ("L_C_D_", "lcd"), ("P_M_S", "pms"),
     ("T_V_", "tv"), ("{pause}", ""), ("{nonvocalsound}", ""), ("{gap}", ""), ("  ", " "),
 )
 LAYOUT_TYPES = ("header", "footer", "page_number", "aside_text", "page_footnote", "seal")
+HISTORY, CURRENT = "Conversation history:\n", "\n\nCurrent question: "
+OF_LAYER, OF_LEAF = "[LAYER: ", "[ID: "
 # End of fixed values.
 
 SPACE = "[ \\t\\n\\r\\u000B\\f]+"
@@ -137,13 +140,13 @@ def item_text(kind: Column, c) -> Column:  # noqa: ANN001
 def history(turns: Column, question: Column) -> Column:
     """Turns (role, content) before a question as one prompt; the question alone without turns."""
     lines = F.transform(turns, lambda t: F.concat(F.initcap(t["role"]), F.lit(": "), t["content"]))
-    text = F.concat(F.lit("Conversation history:\n"), F.array_join(lines, "\n"), F.lit("\n\nCurrent question: "), question)
+    text = F.concat(F.lit(HISTORY), F.array_join(lines, "\n"), F.lit(CURRENT), question)
     return F.when(F.coalesce(F.size(turns), F.lit(0)) <= 0, question).otherwise(text)
 
 
 def annotated(text: Column, layer: Column, node_id: Column, has_children: Column) -> Column:
     """A context text with where it is from: its layer for inner nodes, its id for leaves."""
-    mark = F.when(has_children, F.concat(F.lit("[LAYER: "), layer.cast("string"), F.lit("] "))).otherwise(F.concat(F.lit("[ID: "), node_id.cast("string"), F.lit("] ")))
+    mark = F.when(has_children, F.concat(F.lit(OF_LAYER), layer.cast("string"), F.lit("] "))).otherwise(F.concat(F.lit(OF_LEAF), node_id.cast("string"), F.lit("] ")))
     return F.concat(mark, text)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import answer_tokens, normalize_answer
 
+# Cuts of recall.
 CUTS = (1, 2, 5, 10, 20, 50, 100, 200)
+# End of fixed values.
 
 
 def pairs(predictions: DataFrame, gold: DataFrame) -> DataFrame:

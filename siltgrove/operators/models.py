@@ -82,9 +82,9 @@ class ExtractiveReader:
 
     def answer(self, messages: list[dict[str, str]]) -> str:
         text = messages[-1]["content"]
-        q = re.search(r"User question: (.*)", text)
+        q = re.search(r"The question: (.*)", text)
         asked = set(_WORD.findall((q[1] if q else "").lower()))
-        best = max(re.split(r"(?<=[.!?])\s+|\n+", text.split("User question:")[0]), key=lambda s: len(asked & set(_WORD.findall(s.lower()))), default="")
+        best = max(re.split(r"(?<=[.!?])\s+|\n+", text.split("The question:")[0]), key=lambda s: len(asked & set(_WORD.findall(s.lower()))), default="")
         return f"Thought: the documents say so.\nAnswer: {best.strip() or 'Not mentioned'}"
 
 
@@ -131,10 +131,10 @@ RULES = (
     "Then end with a new line: 'Retrieve: ' and what to look up next, or 'Answer: ' and the answer. {length}Say 'Not mentioned' if the documents don't tell."
 )
 EXAMPLE = (
-    {"role": "user", "content": "Retrieved documents: \n\nThe mill stands in Ostholm. Ostholm lies on the river Vara.\nUser question: On which river does the mill stand?\nRetrieval time remaining: {times}\nThought: "},
+    {"role": "user", "content": "Documents found:\n\nThe mill stands in Ostholm. Ostholm lies on the river Vara.\n\nThe question: On which river does the mill stand?\nLookups left: {times}\nThought: "},
     {"role": "assistant", "content": "The mill is in Ostholm, and Ostholm is on the Vara.\nAnswer: the Vara"},
 )
-MUST_ANSWER = ', you MUST end your response with "Answer: <answer>"!'
+LAST_TURN = " (none: close with 'Answer: ' and what you know)"
 
 
 def abstract_prompt(text: str, words: int, keywords: bool, leaf: bool) -> str:
@@ -144,7 +144,7 @@ def abstract_prompt(text: str, words: int, keywords: bool, leaf: bool) -> str:
 
 def agent_turn(documents: str, question: str, remaining: int) -> str:
     """The user's turn: documents, question, how often one may still look up; at exactly 0 the duty to answer."""
-    return f"Retrieved documents: \n\n{documents}\nUser question: {question}\nRetrieval time remaining: {remaining}{MUST_ANSWER if remaining == 0 else ''}\nThought: "
+    return f"Documents found:\n\n{documents}\n\nThe question: {question}\nLookups left: {remaining}{LAST_TURN if remaining == 0 else ''}\nThought: "
 
 
 def agent_messages(documents: str, question: str, times: int, kind: str = "short", words: int = 500, example: bool = True) -> list[dict[str, str]]:
@@ -157,5 +157,5 @@ def agent_messages(documents: str, question: str, times: int, kind: str = "short
 
 def plain_prompt(documents: str, question: str, kind: str = "short", retrieval: bool = True) -> list[dict[str, str]]:
     """Messages of a single-shot answer, with or without documents."""
-    body = f"Documents:\n\n{documents}\n\nUser question: {question}" if retrieval else f"User question: {question}"
+    body = f"Documents:\n\n{documents}\n\nThe question: {question}" if retrieval else f"The question: {question}"
     return [{"role": "system", "content": f"Answer the question{' from the documents' if retrieval else ''}. {LENGTHS[kind]}End with 'Answer: ' and the answer."}, {"role": "user", "content": body}]

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import flatten_transcript, title_body, word_count
 
+# Words of a long document, the standing question about events, the fields of each dataset's records.
 LONG_DOCUMENT = 6000
 SUMMARISE = "Summarize the contents of this news event."
-
-# The fields of each dataset's records.
 SCHEMAS = {
     "corpus": "title string, text string, body string, idx string",
     "questions": "id string, question string, query string, answer string, gold_ans string, reference string, golden_answers array<string>, answer_aliases array<string>, obj string, possible_answers string, o_wiki_title string, o_aliases string, "

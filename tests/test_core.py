@@ -290,7 +290,7 @@ def test_agent_rounds(spark):
     done, rounds = agent.run(q, lambda x: x.select("query_id", F.concat(F.lit("doc "), "text").alias("documents")), 2, Asker)
     assert {r.query_id: r.answer for r in done.collect()} == {1: "done", 2: "Error"}
     assert {r.query_id: r.n for r in rounds.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 2, 2: 3}
-    assert models.agent_turn("d", "q", 0).count("MUST") == 1 and models.agent_turn("d", "q", -1).count("MUST") == 0
+    assert "close with" in models.agent_turn("d", "q", 0) and "close with" not in models.agent_turn("d", "q", -1)
 
 
 def test_models():
