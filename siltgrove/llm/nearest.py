@@ -3,8 +3,10 @@
 A bounded sample of the vectors trains coarse centres and full-dimensional residual codebooks. Every vector is coded
 by beam search over the codebooks, with the norm of its reconstruction stored beside the code. Centres are gathered
 into groups of bounded size; a vector travels to the groups that hold the lists it probes, where table look-ups score
-the members of those lists, and the best of them are reranked by exact similarities. Vectors that equal one another
-stand for one another, so a group of copies of any size costs no more than six vectors.
+the members of those lists, and the best of them are reranked by exact similarities. How many members of the lists not
+probed may be nearer than what was found is then expected from the size, mean and spread of each list; a vector that
+may miss more than MISSED of its neighbours goes on to as many further lists as that takes, in exact blocked products.
+Vectors that equal one another stand for one another, so a group of copies of any size costs no more than six vectors.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ BLOCK = 2048
 VISITS = 2
 #: Base vectors of a group in one task; a larger group is salted, and its queries visit every salt.
 SALT = 24_000
+#: Neighbours of a vector that may be expected in lists it never meets, of K.
+MISSED = 0.25
+#: Base vectors, and vectors that ask them, in one task of the second search.
+WIDE, ASKERS = 262_144, 262_144
 K = 5
 
 
@@ -98,6 +104,17 @@ class Index:
         top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.tile(np.arange(most), (len(x), 1))
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
 
+    def nearer(self, x: np.ndarray, least: np.ndarray, probed: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """How many members of each list are expected to be more similar to each vector than least, taking similarities
+        in a list as normal. None in lists that were probed. shape holds each list's size, and the mean similarity of
+        its members to the centre, and their spread along a direction."""
+        size, lean, spread = shape
+        z = np.clip((least[:, None] - (x @ self.centres.T) * lean) / spread, 0, 12)
+        e = size * np.exp(-0.5 * z * z - 0.919) / (0.661 * z + 0.339 * np.sqrt(z * z + 5.51))  # the normal tail
+        row, slot = np.nonzero(probed >= 0)
+        e[row, probed[row, slot]] = 0
+        return e
+
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes by beam search over the codebooks, and the squared norm of each reconstruction."""
         c = self.centres[own]
@@ -177,6 +194,70 @@ def search(ids: np.ndarray, x: np.ndarray, own: np.ndarray, probes: np.ndarray,
     return q[top], c[top], s[top]
 
 
+def further(ids: np.ndarray, x: np.ndarray, own: np.ndarray, wants: np.ndarray, least: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As search(), but exact: wants marks by query and list which lists a query asks, and only similarities of at
+    least `least` count. Rows are base vectors if own, their list, isn't negative, and queries otherwise."""
+    base, asking = np.flatnonzero(own >= 0), np.flatnonzero(own < 0)
+    base = base[np.argsort(own[base], kind="stable")]
+    lists, first = np.unique(own[base], return_index=True)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for block in (asking[k : k + BLOCK] for k in range(0, len(asking), BLOCK)):
+        hits = []
+        for number, lo, hi in zip(lists, first, np.r_[first[1:], len(base)]):
+            qs = block[wants[block, number]]
+            for ms in (base[k : min(k + 8192, hi)] for k in range(lo, hi, 8192)) if len(qs) else ():
+                sims = x[qs] @ x[ms].T
+                row, col = np.nonzero(sims >= least[qs][:, None])
+                if len(row) > 16 * keep * len(qs) and keep + 1 < len(ms):  # a query itself may be among them
+                    col = np.argpartition(-sims, keep, axis=1)[:, : keep + 1].ravel()
+                    row = np.repeat(np.arange(len(qs)), keep + 1)
+                other = ids[ms[col]] != ids[qs[row]]
+                row, col = row[other], col[other]
+                hits.append((qs[row], ms[col], sims[row, col]))
+        if hits:
+            q, c, s = (np.concatenate(z) for z in zip(*hits))
+            order = np.lexsort((ids[c], -s, q))
+            q, c, s = q[order], c[order], s[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < keep
+            out.append((q[top], c[top], s[top]))
+    q, c, s = (np.concatenate(z) for z in zip(*out))
+    order = np.argsort(q, kind="stable")
+    return q[order], c[order], s[order]
+
+
+def _listed(ids: np.ndarray, q: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The queries, the start of each one's candidates, and these as lists."""
+    heads, at = np.unique(q, return_index=True)
+    near = pa.StructArray.from_arrays([pa.array(s.astype(np.float32)), pa.array(ids[c], pa.int64())], names=["s", "c"])
+    return heads, at, pa.ListArray.from_arrays(pa.array(np.r_[at, len(q)], pa.int32()), near)
+
+
+def _shapes(units: DataFrame, index) -> np.ndarray:  # noqa: ANN001
+    """Size, mean similarity to the centre and spread along a direction of every list, over all vectors."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        ix = index.value
+        n, one, two = (np.zeros(len(ix.centres)) for _ in range(3))
+        for b in batches:
+            for lo in range(0, b.num_rows, 2048):
+                s = matrix(b.column(0).slice(lo, 2048), WIDTH) @ ix.centres.T
+                own, best = s.argmax(1), s.max(1).astype(np.float64)
+                n += np.bincount(own, minlength=len(n))
+                one += np.bincount(own, best, len(n))
+                two += np.bincount(own, best * best, len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(one[at]), pa.array(two[at])], names=["list", "n", "one", "two"])
+
+    parts = units.select("v").mapInArrow(run, "list int, n double, one double, two double")
+    rows = parts.groupBy("list").agg(F.sum("n"), F.sum("one"), F.sum("two")).collect()
+    shape = np.zeros((3, len(index.value.centres)), np.float32)
+    shape[2] = 1
+    for at, n, one, two in rows:
+        # What of unit length isn't along the centre is spread over the other directions.
+        shape[:, at] = n, one / n, np.sqrt(max(1 - two / n, 1e-6) / (WIDTH - 1))
+    return shape
+
+
 def _classes(units: DataFrame) -> DataFrame:
     """node_id, rep and rn (from 1, by node_id) of the vectors that equal another one's."""
     keyed = units.select("node_id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct()
@@ -191,8 +272,9 @@ def nearest(nodes: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
     are null, not 64 long, not finite or all 0 give no row and are nobody's neighbour. Rows of one node_id count once.
     Equal similarities are ranked by node_id. Fewer than k others give fewer rows; an empty table gives an empty one.
 
-    The result is approximate: it is exact but for neighbours whose list isn't among the `probes` nearest or whose
-    code is not among the best SHORT of a list. The index is fitted on PER_LIST vectors per list, at most PER_LIST *
+    The result is approximate: it is exact but for neighbours whose code is not among the best SHORT of one of the
+    `probes` nearest lists, and for those in lists that were left out because, of all such lists together, no more than
+    MISSED neighbours were expected. The index is fitted on PER_LIST vectors per list, at most PER_LIST *
     MAX_LISTS, chosen by a hash of node_id; every vector is indexed and every vector is a query.
     """
     spark = nodes.sparkSession
@@ -210,10 +292,15 @@ def nearest(nodes: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
     marks = copies.select("node_id", "rn")
     ready = units.join(F.broadcast(marks) if small else marks, "node_id", "left").select("node_id", "v", F.coalesce("rn", F.lit(1)).alias("rn")).where(F.col("rn") <= k + 1)
 
-    # Sizes of groups, from the sample's shares: they only decide how many salts a group gets.
     ix = index.value
-    share = np.bincount(ix.group[ix.probes(sample, 1)[:, 0]], minlength=ix.group.max() + 1) * (total / len(sample))
-    salts = np.maximum(1, np.ceil(share / SALT)).astype(np.int64)
+    shape = _shapes(units, index)
+    salts = np.maximum(1, np.ceil(np.bincount(ix.group, shape[0]) / SALT)).astype(np.int64)
+    # Lists of the second search are gathered into blocks, neighbouring groups together.
+    order = np.argsort(ix.group, kind="stable")
+    before = np.cumsum(shape[0][order].astype(np.float64)) - shape[0][order]
+    wide = np.empty(len(order), np.int32)
+    wide[order] = before * -(-total // WIDE) // total
+    narrow = "<i2" if len(ix.centres) < 32768 else "<i4"
 
     def assign(batches):  # noqa: ANN001, ANN202
         ix = index.value
@@ -238,7 +325,7 @@ def nearest(nodes: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
                         keys.append(groups[r, j])
                         subs.append(np.full(len(r), s))
                 r, own, key, sub = (np.concatenate(z) for z in (rows, owns, keys, subs))
-                ask = np.where((groups[r] == key[:, None]) & (rn[r] == 1)[:, None], near[r], -1).astype("<i2" if len(ix.centres) < 32768 else "<i4")
+                ask = np.where((rn[r] == 1)[:, None], near[r], -1).astype(narrow)
                 info = np.concatenate([codes[r].astype("<u2").view(np.uint8).reshape(len(r), -1), np.ascontiguousarray(norms[r], "<f4").view(np.uint8).reshape(len(r), -1), np.ascontiguousarray(ask).view(np.uint8).reshape(len(r), -1)], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(sub, pa.int32()), pa.array(ids[r]), pa.array(own, pa.int32()), binary(x[r]), binary(info)], names=["g", "salt", "node_id", "own", "v", "info"])
 
@@ -254,16 +341,101 @@ def nearest(nodes: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
         ids, own = ids[first], own[first]
         codes = np.ascontiguousarray(raw[:, : 2 * CODEBOOKS]).view("<u2")
         norms = np.ascontiguousarray(raw[:, 2 * CODEBOOKS : 2 * CODEBOOKS + 4]).view("<f4")[:, 0]
-        ask = np.ascontiguousarray(raw[:, 2 * CODEBOOKS + 4 :]).view("<i2" if len(index.value.centres) < 32768 else "<i4")
-        q, c, s = search(ids, x, own, ask.astype(np.int64), codes.astype(np.int64), norms, index.value.books, k + 1)
-        heads, at = np.unique(q, return_index=True)
-        offsets = pa.array(np.r_[at, len(q)], pa.int32())
-        near = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(s.astype(np.float32)), pa.array(ids[c])], names=["s", "c"]))
-        return pa.Table.from_arrays([pa.array(ids[heads]), near], names=["node_id", "near"])
-
-    parts = ready.mapInArrow(assign, "g int, salt int, node_id long, own int, v binary, info binary").groupBy("g", "salt").applyInArrow(answer, found)
-    ordered = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda x: F.struct((-x["s"]).alias("d"), x["c"].alias("c")))))))
-    merged = parts.groupBy("node_id").agg(F.slice(ordered, 1, k + 1).alias("near"))
+        ix = index.value
+        probed = np.ascontiguousarray(raw[:, 2 * CODEBOOKS + 4 :]).view(narrow).astype(np.int64)
+        ask = np.where((probed >= 0) & (ix.group[probed] == key[0].as_py()), probed, -1)
+        q, c, s = search(ids, x, own, ask, codes.astype(np.int64), norms, ix.books, k + 1)
+        heads, at, near = _listed(ids, q, c, s)
+        # The vectors that may have nearer ones elsewhere, each in its own group, with the lists it probes.
+        full = np.diff(np.r_[at, len(q)]) >= k
+        least = np.full(len(ids), -1, np.float32)
+        least[heads[full]] = s[at[full] + k - 1]
+        lacks = np.zeros(len(ids), bool)
+        home = np.flatnonzero((own >= 0) & (probed >= 0).any(1))
+        for part in (home[j : j + BLOCK] for j in range(0, len(home), BLOCK)):
+            lacks[part] = ix.nearer(x[part], least[part], probed[part], shape).sum(1) > MISSED
+        # One without any candidate still has to go on.
+        bare = np.setdiff1d(np.flatnonzero(lacks), heads)
+        near = pa.concat_arrays([near, pa.array([[]] * len(bare), near.type)])
+        heads = np.r_[heads, bare]
+        v = pa.array([x[h].tobytes() if lacks[h] else None for h in heads], pa.binary())
+        seen = pa.array([probed[h].astype("<i4").tobytes() if lacks[h] else None for h in heads], pa.binary())
+        return pa.Table.from_arrays([pa.array(ids[heads], pa.int64()), near, v, seen], names=["node_id", "near", "v", "seen"])
+
+    def ask_on(batches):  # noqa: ANN001, ANN202
+        ix = index.value
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
+                ids, x = part.column(0).to_numpy(), matrix(part.column(1), WIDTH)
+                probed = np.frombuffer(b"".join(part.column(2).to_pylist()), "<i4").reshape(len(x), -1)
+                least = part.column(3).to_numpy()
+                e = ix.nearer(x, least, probed, shape)
+                few = np.sort(e, axis=1)
+                n = (np.cumsum(few, axis=1, dtype=np.float64) <= MISSED).sum(1)
+                bar = np.where(n > 0, few[np.arange(len(x)), n - 1], 0).astype(np.float32)
+                want = e > bar[:, None]
+                sends = np.zeros((len(x), wide.max() + 1), bool)
+                row, number = np.nonzero(want)
+                sends[row, wide[number]] = True
+                r, to = np.nonzero(sends)
+                # Which of a block's lists, as bits.
+                bits = np.zeros((len(r), most_bytes), np.uint8)
+                for j in range(wide.max() + 1):
+                    here = to == j
+                    packed = np.packbits(want[r[here]][:, wide == j], axis=1)
+                    bits[here, : packed.shape[1]] = packed
+                info = np.concatenate([least[r].astype("<f4").view(np.uint8).reshape(len(r), 4), bits], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(ids[r] % chunks, pa.int32()), pa.array(ids[r], pa.int64()), pa.array(np.full(len(r), -1), pa.int32()), binary(x[r]), binary(info)], names=["g", "salt", "node_id", "own", "v", "info"])
+
+    def base_of(batches):  # noqa: ANN001, ANN202
+        ix = index.value
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
+                ids, x = part.column(0).to_numpy(), matrix(part.column(1), WIDTH)
+                own = (x @ ix.centres.T).argmax(1)
+                for s in range(chunks):
+                    yield pa.RecordBatch.from_arrays([pa.array(wide[own], pa.int32()), pa.array(np.full(len(x), s), pa.int32()), pa.array(ids), pa.array(own, pa.int32()), part.column(1), pa.nulls(len(x), pa.binary())], names=["g", "salt", "node_id", "own", "v", "info"])
+
+    def answer_on(key, table):  # noqa: ANN001, ANN202
+        ids, own = table.column("node_id").to_numpy(), table.column("own").to_numpy()
+        _, first = np.unique(np.stack([ids, (own >= 0).astype(np.int64)], 1), axis=0, return_index=True)
+        x, ids, own = matrix(table.column("v"), WIDTH)[first], ids[first], own[first]
+        asks = np.flatnonzero(own < 0)
+        least = np.full(len(ids), 9, np.float32)
+        here = np.flatnonzero(wide == key[0].as_py())
+        local = np.zeros(len(wide), np.int64)
+        local[here] = np.arange(len(here))
+        wants = np.zeros((len(ids), len(here)), bool)
+        if len(asks):
+            raw = np.frombuffer(b"".join(table.column("info").take(pa.array(first[asks])).to_pylist()), np.uint8).reshape(len(asks), -1)
+            least[asks] = np.ascontiguousarray(raw[:, :4]).view("<f4")[:, 0]
+            wants[asks] = np.unpackbits(raw[:, 4:], axis=1)[:, : len(here)].astype(bool)
+        q, c, s = further(ids, x, np.where(own >= 0, local[own], -1), wants, least - 1e-6, k + 1)
+        heads, _, near = _listed(ids, q, c, s)
+        return pa.Table.from_arrays([pa.array(ids[heads], pa.int64()), near], names=["node_id", "near"])
+
+    rows = "g int, salt int, node_id long, own int, v binary, info binary"
+    parts = ready.mapInArrow(assign, rows).groupBy("g", "salt").applyInArrow(answer, f"{found}, v binary, seen binary")
+
+    def best(of: str):  # noqa: ANN202
+        return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(of)))), 1, k + 1)
+
+    turned = F.transform("near", lambda x: F.struct((-x["s"]).alias("d"), x["c"].alias("c")))
+    merged = written(parts.withColumn("near", turned).groupBy("node_id").agg(best("near").alias("near"), F.max("v").alias("v"), F.max("seen").alias("seen")), "first")
+    lacking = merged.where("v is not null")
+    n_lacking = lacking.count()
+    if n_lacking:
+        chunks = -(-n_lacking // ASKERS)
+        most_bytes = -(-int(np.bincount(wide).max()) // 8)
+        least = F.coalesce(-F.try_element_at("near", F.lit(k))["d"], F.lit(-1.0)).cast("float")
+        asking = lacking.select("node_id", "v", "seen", least.alias("least")).mapInArrow(ask_on, rows)
+        both = ready.select("node_id", "v").mapInArrow(base_of, rows).unionByName(asking)
+        more = both.groupBy("g", "salt").applyInArrow(answer_on, found).withColumn("near", turned)
+        mended = lacking.select("node_id", "near").unionByName(more).groupBy("node_id").agg(best("near").alias("near"))
+        merged = merged.where("v is null").select("node_id", "near").unionByName(mended)
+    merged = merged.select("node_id", "near").where(F.size("near") > 0)
     if n_copies:
         # Copies: their representative's list with itself added, without themselves.
         merged = written(merged, "merged")

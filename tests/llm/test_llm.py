@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -253,6 +254,37 @@ def test_nearest_recall_and_odd_rows(spark):
     assert nearest.nearest(df.where("node_id in (1, 2)")).count() == 2
 
 
+def test_nearest_recall_in_a_dense_third_and_among_loners(spark):
+    rng = np.random.default_rng(2)
+    x = blobs(rng, [8000, *[100] * 120], 4000, spread=0.045).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = pa.table({"node_id": np.arange(len(x)), "layer": np.zeros(len(x), np.int32), "embeddings": list(x)})
+    found = nearest.nearest(spark.createDataFrame(table)).toArrow()
+    got = set(zip(found["node_id"].to_pylist(), found["neighbour"].to_pylist()))
+    assert len(got) == found.num_rows == 5 * len(x)
+    for part in (range(0, 8000, 20), range(8000, 20000, 30), range(20000, 24000, 10)):
+        s = u[part] @ u.T
+        s[np.arange(len(part)), part] = -2
+        best = np.argpartition(-s, 4, axis=1)[:, :5]
+        assert np.mean([(q, int(b)) in got for q, row in zip(part, best) for b in row]) >= 0.9
+
+
+def test_expected_nearer_members():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = nearest.Index(x[:1000], 4000)
+    s = x @ index.centres.T
+    own, n = s.argmax(1), np.bincount(s.argmax(1), minlength=s.shape[1])
+    lean = np.bincount(own, s.max(1)) / n
+    shape = np.stack([n, lean, np.sqrt((1 - np.bincount(own, s.max(1) ** 2) / n) / 63)]).astype(np.float32)
+    probed = np.full((200, 8), -1)
+    probed[:, 0] = 3
+    e = index.nearer(x[:200], np.full(200, 0.3, np.float32), probed, shape)
+    true = ((x[:200] @ x.T >= 0.3) & (own != 3)).sum() - (own[:200] != 3).sum()  # less the vectors themselves
+    assert (e[:, 3] == 0).all() and 0.8 < e.sum() / true < 1.25
+
+
 # 7: markup
 
 
