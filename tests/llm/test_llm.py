@@ -269,6 +269,17 @@ def test_nearest_recall_in_a_dense_third_and_among_loners(spark):
         assert np.mean([(q, int(b)) in got for q, row in zip(part, best) for b in row]) >= 0.9
 
 
+def test_nearest_recall_without_near_neighbours(spark):
+    x = np.random.default_rng(4).normal(size=(12000, 64)).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = nearest.nearest(spark.createDataFrame(pa.table({"node_id": np.arange(len(x)), "layer": np.zeros(len(x), np.int32), "embeddings": list(x)}))).toArrow()
+    got = set(zip(found["node_id"].to_pylist(), found["neighbour"].to_pylist()))
+    s = u[:400] @ u.T
+    s[np.arange(400), np.arange(400)] = -2
+    best = np.argpartition(-s, 4, axis=1)[:, :5]
+    assert np.mean([(q, int(b)) in got for q, row in enumerate(best) for b in row]) >= 0.9
+
+
 def test_expected_nearer_members():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 64)).astype(np.float32)
