@@ -91,7 +91,7 @@ class Index:
     def probes(self, x: np.ndarray, most: int, visits: int = 0) -> np.ndarray:
         """The nearest centres of each vector, nearest first. With visits, only centres of so many groups count: that
         of the nearest centre and those of the next ones; so a vector travels at most so often, however many groups
-        there are."""
+        there are. Where these hold fewer centres, the rest is -1."""
         s = x @ self.centres.T
         if visits and self.group.max() >= visits:
             best = np.full((len(x), self.group.max() + 1), -2, np.float32)
@@ -99,10 +99,10 @@ class Index:
                 best[:, g] = s[:, self.group == g].max(1, initial=-2)
             far = best < -np.partition(-best, visits - 1, axis=1)[:, visits - 1 : visits]
             s = np.where(far[:, self.group], -3, s)
-            most = min(most, int((~far[:, self.group]).sum(1).min()))
         most = min(most, s.shape[1])
         top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.tile(np.arange(most), (len(x), 1))
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+        return np.where(np.take_along_axis(s, top, 1) > -3, top, -1)
 
     def nearer(self, x: np.ndarray, least: np.ndarray, probed: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """How many members of each list are expected to be more similar to each vector than least, taking similarities
@@ -310,12 +310,12 @@ def nearest(nodes: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
                 ids, x, rn = part.column(0).to_numpy(), matrix(part.column(1), WIDTH), part.column(2).to_numpy()
                 near = ix.probes(x, probes, VISITS)
                 codes, norms = ix.encode(x, near[:, 0])
-                groups = ix.group[near]
+                groups = np.where(near >= 0, ix.group[near], -1)
                 mine = groups[:, 0]
                 salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % salts[mine]
                 rows, owns, keys, subs = [], [], [], []
                 for j in range(groups.shape[1]):
-                    fresh = np.flatnonzero((groups[:, :j] != groups[:, j : j + 1]).all(1)) if j else np.arange(len(x))
+                    fresh = np.flatnonzero((groups[:, :j] != groups[:, j : j + 1]).all(1) & (groups[:, j] >= 0))
                     for s in range(int(salts[groups[fresh, j]].max()) if len(fresh) else 0):
                         r = fresh[salts[groups[fresh, j]] > s]
                         home = (salt[r] == s) if j == 0 else np.zeros(len(r), bool)

@@ -280,6 +280,15 @@ def test_nearest_recall_without_near_neighbours(spark):
     assert np.mean([(q, int(b)) in got for q, row in enumerate(best) for b in row]) >= 0.9
 
 
+def test_probes_do_not_depend_on_the_batch():
+    x = np.random.default_rng(6).normal(size=(900, 64)).astype(np.float32)
+    index = nearest.Index(x / np.linalg.norm(x, axis=1, keepdims=True), 20_000)
+    index.group = np.minimum(np.arange(len(index.centres)), 2).astype(np.int32)  # two groups of one list
+    batch = index.probes(np.concatenate([index.centres[:1] + index.centres[1:2], index.centres[2:]]), 8, 2)
+    assert batch.shape[1] == 8 and set(batch[0]) == {0, 1, -1}
+    assert (batch[1:] >= 0).all()
+
+
 def test_expected_nearer_members():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 64)).astype(np.float32)
