@@ -18,9 +18,9 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that the splitter cut: those that came out as more than one piece."""
+    """The items that exceed a limit, as the splitter took them; outer white space may leave them one piece or none."""
     items = split.project_items(table(spark, sf_dir, "wcep"), table(spark, sf_dir, "nodes"))
-    cut = split.split_long(items).where("n_pieces > 1 and chunk_index = 1")
+    cut = split.split_long(items.withColumn("long", split.oversized(F.col("text")))).where("long and chunk_index = 0")
     return cut.select("item_kind", "item_id", "doc_pos").distinct()
 
 

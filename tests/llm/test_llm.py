@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltgrove.llm import leak, level, markup, mix, mixture, neardup, nearest, pairs, scans, split
+from siltgrove.llm import leak, level, markup, mix, mixture, neardup, nearest, pairs, registry, scans, split
 
 WORD = re.compile(r"[^ \t\n\r]+")
 
@@ -51,6 +51,14 @@ def test_split_rows(spark):
     assert split.split_long(out.where("false")).count() == 0
 
 
+def test_oversized_by_white_space_is_found(spark, tmp_path):
+    texts = ["short" + " " * 900, " " * 901, "w " * 130, "short", " " * 900, None]
+    spark.createDataFrame([(1, texts)], "sample_id long, document array<string>").write.parquet(f"{tmp_path}/wcep.parquet")
+    spark.createDataFrame([(7, 0, "\n" * 950 + "leaf"), (8, 1, "x" * 950)], "node_id long, layer int, text string").write.parquet(f"{tmp_path}/nodes.parquet")
+    got = {tuple(r) for r in registry.p1_found(spark, str(tmp_path)).collect()}
+    assert got == {("wcep", 1, 0), ("wcep", 1, 1), ("wcep", 1, 2), ("node", 7, -1)}
+
+
 # 2: scanned text
 
 
