@@ -42,6 +42,9 @@ _PARTS = re.compile(r"[·|•]")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 #: Smoothing of the word model, and weight of the unigram in the bigram model.
 ALPHA, KAPPA = 0.05, 20.0
+#: Share of the corpus's words up to which a word with odd characters and without a reading is taken for misread; from
+#: three times on in any corpus.
+RARE = 7e-6
 
 
 def roman(s: str) -> int:
@@ -90,7 +93,7 @@ def running_heads(items: DataFrame, content: DataFrame) -> DataFrame:
     or the text of a header. A name's letters decide; numbers, case and ornaments don't."""
     named = F.when((F.col("item_type") == "header") | (F.col("text_level") > 0), F.col("text"))
     names = content.select("pdf_id", F.explode(F.array("title", named)).alias("name")).select("pdf_id", letters(F.col("name")).alias("key")).where("length(key) >= 4").distinct()
-    lines = items.where("target").select("item_id", "field", "pdf_id", F.posexplode(F.split("text", BREAK)).alias("line", "s")).where("length(s) <= 300")
+    lines = items.where("target").select("item_id", "field", "pdf_id", F.posexplode(F.split("text", BREAK)).alias("line", "s"))
     parts = F.array_union(F.array("s"), F.split("s", "[·|•]"))  # the whole line, or a part of it between ornaments
     keyed = lines.select("item_id", "field", "pdf_id", "line", F.explode(parts).alias("s")).select("item_id", "field", "pdf_id", "line", letters(F.col("s")).alias("key")).where("length(key) >= 4")
     return keyed.join(names, ["pdf_id", "key"]).groupBy("item_id", "field").agg(F.collect_set("line").alias("heads"))
@@ -183,7 +186,7 @@ def decode(observed: list[str], options: list[list[tuple[str, float, int]]], lef
 
 def _plain(word: str) -> str | None:
     """A reading of a word with odd characters that the corpus doesn't have: each one by its first confusion."""
-    if not ODD.search(word) or sum(c.isalpha() for c in word) < 4:
+    if not ODD.search(word) or sum(c.isalpha() for c in word) < 4 or set(word.lower()) <= _ROMAN.keys():  # Roman numbers read as they are
         return None
     for seen in ("ɑ", "ø", "ii", "vv", "0", "1", "2", "5", "6", "9"):
         word = word.replace(seen, _BY_SEEN[seen][0][0])
@@ -208,7 +211,7 @@ def mend(text: str, heads: set[int], page: int | None, counts: dict[str, int], o
         got = decode([words[k] for k in run], opts, words[run[0] - 1] if run[0] else None, words[run[-1] + 1] if run[-1] + 1 < len(words) else None, pairs, total)
         fixed |= {k: w for k, w in zip(run, got) if w != words[k]}
     for k, w in enumerate(words):
-        if k not in fixed and (w not in counts or counts[w] <= 3) and (p := _plain(w)):
+        if k not in fixed and counts.get(w, 0) <= max(3, RARE * total) and (p := _plain(w)):
             fixed[k] = p
     joins = {k: mark != "-" or counts.get(compound, 0) <= counts.get(joined, 0) for k, joined, compound, mark in breaks}
     if any(joins.values()):

@@ -100,6 +100,23 @@ def test_viterbi_uses_context():
     assert scans.roman("xlix") == 49 and scans.is_page_number("xii", 12) and not scans.is_page_number("mix", 12)
 
 
+def test_rare_is_a_share_of_the_corpus():
+    def mend(text, n, total):
+        return scans.mend(text, set(), None, {w: n for w in text.split()}, {}, {}, total)
+
+    for n, total in ((3, 400_000), (30, 5_000_000), (300, 50_000_000)):
+        assert mend("a gl1mmering light", n, total) == ("a glimmering light", ["misread"])
+    assert mend("a gl1mmering light", 30, 400_000)[1] == []
+    assert mend("volume xxxviii follows", 2, 5_000_000)[1] == []
+
+
+def test_long_running_heads(spark):
+    title = "On the mills and rivers of the northern valleys " * 8
+    row = (1, 1, title, 3, "text", 0, f"The mill was old.\n{title}\nThe river was wide.", None)
+    got = scans.repair(content(spark, [row])).first()
+    assert got.defects == ["running_head"] and got.text == "The mill was old. The river was wide."
+
+
 # 3: clusters
 
 
