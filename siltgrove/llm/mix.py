@@ -139,7 +139,7 @@ def slots(planned: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         want = int(counts.sum()) * group // groups
         if want == 0:
             return np.zeros_like(counts)
-        return rng.multivariate_hypergeometric(counts, want, method="marginals")
+        return drawn(rng, counts, want)
 
     def ranges(shard: int) -> tuple[np.ndarray, np.ndarray]:
         """First use and number of uses of each source in a shard, found by halving the range of shards: each shard
@@ -147,7 +147,7 @@ def slots(planned: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         low, high, start, counts = 0, shards, np.zeros_like(left), left.copy()
         while high - low > 1:
             mid = (low + high) // 2
-            first = draw(mid - low, high - low, counts) if counts.sum() < 1_000_000_000 else counts * (mid - low) // (high - low)
+            first = draw(mid - low, high - low, counts)
             if shard < mid:
                 high, counts = mid, first
             else:
@@ -177,6 +177,23 @@ def slots(planned: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     return ids.mapInArrow(make, "shard long, slot long, source string, block_no long, use_no long")
 
 
+def drawn(rng: np.random.Generator, counts: np.ndarray, want: int) -> np.ndarray:
+    """How many of each kind are among want drawn without replacement. From 1 000 000 000 on, where numpy's draw ends,
+    one kind after the other by the normal limit of its hypergeometric number."""
+    if counts.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(counts, want, method="marginals")
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for k, n in enumerate(counts.tolist()):
+        if rest < 1_000_000_000:
+            out[k:] = rng.multivariate_hypergeometric(counts[k:], want, method="marginals")
+            break
+        p = n / rest
+        x = round(rng.normal(want * p, math.sqrt(want * p * (1 - p) * (rest - want) / (rest - 1))))
+        out[k] = min(max(x, 0, want - (rest - n)), n, want)
+        want, rest = want - int(out[k]), rest - n
+    return out
+
+
 def mixed(sized: DataFrame, planned: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
     """The mix: shard, slot, source, block_no, use_no, doc_id, from_unit and to_unit: which units of which document a
     slot holds, in order. A block over several documents has a row for each; the last block of a source may be

@@ -405,6 +405,17 @@ def test_permutation():
         assert sorted(mix.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
+def test_large_draws_are_draws():
+    rng = np.random.default_rng(7)
+    counts = np.array([3_000_000_000, 5, 1_500_000_001, 0, 40_000_000])
+    want = int(counts.sum()) // 3
+    got = np.array([mix.drawn(rng, counts, want) for _ in range(400)])
+    assert (got.sum(1) == want).all() and (got >= 0).all() and (got <= counts).all()
+    p = counts / counts.sum()
+    spread = np.sqrt(want * p * (1 - p) * 2 / 3)
+    assert (abs(got.mean(0) - want * p) <= 0.3 * spread + 0.5).all() and 0.8 < got[:, 0].std() / spread[0] < 1.2
+
+
 def test_mix(spark):
     rng = random.Random(1)
     docs = [(k, "w " * rng.randrange(0, 90), rng.choice(["A", " a ", "b", "B", None, "c"]), "x") for k in range(400)] + [(1000, None, "a", "x"), (1001, "", "b", "x"), (1002, "v " * 3000, "c", "x")]
