@@ -20,6 +20,8 @@ class Config:
     force_split: bool = False
     max_tokens_per_chunk: int = 100
     embedder: str = "hashing"
+    reader: str = "extractive"
+    reranker: str = "overlap"
     embedding_width: int = 64
     tree_builder: str = "exact"
     passage_as_tree: bool = False
@@ -38,7 +40,8 @@ class Config:
     force_index_from_scratch: bool = False
     answer_type: str = "short"
     no_retrieval: bool = False
-    max_retrieval_time: int = 3
+    max_retrieval_time: int | str = 3
+    hop_model: str | None = None
     max_response_length: int = 500
     force_qa_from_scratch: bool = False
     selection_mode: str = "top_k"
@@ -60,6 +63,10 @@ class Config:
         for name, allowed in (("tree_builder", ("exact", "knn")), ("abstract_type", ("summary", "keyword")), ("answer_type", ("short", "medium", "long", "auto")), ("selection_mode", ("top_k", "threshold")), ("distance", ("cosine", "l1", "l2", "linf"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
+        if self.max_retrieval_time != "auto" and not isinstance(self.max_retrieval_time, int):
+            raise ValueError("max_retrieval_time must be a number or auto")
+        if self.max_retrieval_time == "auto" and not self.hop_model:
+            raise ValueError("max_retrieval_time auto needs hop_model, the folder of a trained hop model")
 
 
 def literal(text: str) -> object:

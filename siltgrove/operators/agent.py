@@ -11,47 +11,52 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_answer, parse_response
 from ..session import written
-from .models import ExtractiveReader, Reader, agent_messages, agent_turn, plain_prompt
+from .models import ExtractiveReader, Reader, agent_messages, plain_prompt
+from .models import turn as turn_text
 
 Retrieve = Callable[[DataFrame], DataFrame]
 
 
-def run(questions: DataFrame, retrieve: Retrieve, most: int = 3, make: Callable[[], Reader] = ExtractiveReader, kind: str = "short") -> tuple[DataFrame, DataFrame]:
-    """(answers, rounds) of questions (query_id, question, and what retrieve needs).
+def run(questions: DataFrame, retrieve: Retrieve, most: int = 3, make: Callable[[], Reader] = ExtractiveReader, kind: str = "short", words: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(answers, rounds) of questions (query_id, question, and what retrieve needs). A column `lookups` gives each
+    question a budget of its own, at most `most`; null counts as `most`.
 
     retrieve takes query_id and text and gives query_id and documents (one text). In each round the open questions'
     documents are looked up by their sub-question (the question itself at first) while the prompt keeps the question;
     a reply with `Retrieve: ` opens another round, any other answers. After `most` lookups beyond the first, what is
     still open gets the answer Error. rounds has query_id, round_no, subquestion, thought, action and payload.
     """
+    own = F.least(F.coalesce(F.col("lookups"), F.lit(most)), F.lit(most)) if "lookups" in questions.columns else F.lit(most)
+    questions = questions.withColumn("lookups", own.cast("int"))
     keep = [c for c in questions.columns if c not in ("query_id", "question")]
     state = questions.select("query_id", "question", *keep, F.col("question").alias("text"), F.lit("").alias("messages"))
     done = rounds = None
     for turn in range(most + 1):
         docs = retrieve(state.select("query_id", "text", *keep))
         ready = state.join(docs, "query_id", "left").select("query_id", "question", *keep, "text", "messages", F.coalesce("documents", F.lit("")).alias("documents"))
-        left = most - turn
 
         @F.pandas_udf("struct<messages:string,reply:string>")
-        def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], now: int = turn) -> Iterator[pd.DataFrame]:
             model = make()
-            for question, documents, messages in batches:
+            for question, documents, messages, lookups in batches:
                 out = []
-                for q, d, m in zip(question, documents, messages):
-                    said = json.loads(m) + [{"role": "user", "content": agent_turn(d, q, left)}] if m else agent_messages(d, q, most, kind)
+                for q, d, m, n in zip(question, documents, messages, lookups):
+                    said = json.loads(m) + [{"role": "user", "content": turn_text(d, q, int(n) - now)}] if m else agent_messages(d, q, int(n), kind, words)
                     reply = model.answer(said)
                     out.append((json.dumps([*said, {"role": "assistant", "content": reply}]), reply))
                 yield pd.DataFrame(out, columns=["messages", "reply"])
 
-        asked = written(ready.withColumn("r", ask("question", "documents", "messages")).withColumn("p", parse_response(F.col("r.reply"))), "round")
+        asked = written(ready.withColumn("r", ask("question", "documents", "messages", "lookups")).withColumn("p", parse_response(F.col("r.reply"))), "round")
         log = asked.select("query_id", F.lit(turn).alias("round_no"), F.col("text").alias("subquestion"), "p.thought", "p.action", "p.payload", "documents")
         rounds = log if rounds is None else rounds.unionByName(log)
         ended = asked.where("p.action = 'answer'").select("query_id", F.col("p.payload").alias("answer"))
         done = ended if done is None else done.unionByName(ended)
         state = asked.where("p.action = 'retrieve'").select("query_id", "question", *keep, F.col("p.payload").alias("text"), "r.messages")
+        done = done.unionByName(state.where(F.col("lookups") <= turn).select("query_id", F.lit("Error").alias("answer")))
+        state = state.where(F.col("lookups") > turn)
         if state.isEmpty():
-            return done, rounds
-    return done.unionByName(state.select("query_id", F.lit("Error").alias("answer"))), rounds
+            break
+    return done, rounds
 
 
 def single_shot(questions: DataFrame, documents: DataFrame | None, make: Callable[[], Reader] = ExtractiveReader, kind: str = "short") -> DataFrame:

@@ -67,13 +67,18 @@ def rouge_n(predictions: DataFrame, gold: DataFrame, n: int) -> DataFrame:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: rows of the table as bit vectors over the shorter side."""
+    if len(a) > len(b):
+        a, b = b, a
+    at: dict[str, int] = {}
+    for k, t in enumerate(a):
+        at[t] = at.get(t, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for t in b:
+        here = at.get(t, 0)
+        row = ((row + (row & here)) | (row & ~here)) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(predictions: DataFrame, gold: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,3 +40,13 @@ def budget(model, queries: DataFrame) -> DataFrame:  # noqa: ANN001
     """query_id, hops (1 to 4) and lookups beyond the first: hops - 1."""
     p = model.transform(features(queries))
     return p.select("query_id", (F.col("prediction") + 1).cast("int").alias("hops"), F.greatest(F.col("prediction"), F.lit(0)).cast("int").alias("lookups"))
+
+
+def save(model, path: str) -> None:  # noqa: ANN001
+    """Write a trained model to a folder, local or of the cluster's file system; an old one is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> MultilayerPerceptronClassificationModel:
+    """A model that save() wrote."""
+    return MultilayerPerceptronClassificationModel.load(path)

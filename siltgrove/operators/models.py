@@ -81,13 +81,38 @@ class ExtractiveReader:
     """Answers with the sentence of the last message that shares most words with its question."""
 
     def answer(self, messages: list[dict[str, str]]) -> str:
-        text = messages[-1]["content"]
-        q = re.search(r"The question: (.*)", text)
-        asked = set(_WORD.findall((q[1] if q else "").lower()))
-        best = max(re.split(r"(?<=[.!?])\s+|\n+", text.split("The question:")[0]), key=lambda s: len(asked & set(_WORD.findall(s.lower()))), default="")
+        question, passages = read_turn(messages[-1]["content"])
+        asked = set(_WORD.findall(question.lower()))
+        best = max(re.split(r"(?<=[.!?])\s+|\n+", passages), key=lambda s: len(asked & set(_WORD.findall(s.lower()))), default="")
         return f"Thought: the documents say so.\nAnswer: {best.strip() or 'Not mentioned'}"
 
 
+class ScriptedReader(ExtractiveReader):
+    """An extractive reader that looks up once more, by the words of its best sentence, before it answers: it opens a
+    second round whenever the turn lets it."""
+
+    def answer(self, messages: list[dict[str, str]]) -> str:
+        said = super().answer(messages)
+        text = messages[-1]["content"]
+        if sum(m["role"] == "assistant" for m in messages) > 0 or turn_is_last(text):
+            return said
+        return f"Thought: one more look.\nRetrieve: {said.rpartition('Answer: ')[2]}"
+
+
+#: Backends by the names that settings use; others are registered by adding to these.
+EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"hashing": HashingEmbedder}
+ABSTRACTORS: dict[str, Callable[[], Abstractor]] = {"summary": LeadAbstractor, "keyword": KeywordAbstractor}
+READERS: dict[str, Callable[[], Reader]] = {"extractive": ExtractiveReader, "scripted": ScriptedReader}
+RERANKERS: dict[str, Callable[[], Reranker]] = {"overlap": OverlapReranker}
+
+
+def backend(known: dict, name: str):  # noqa: ANN001, ANN201
+    """The backend of that name; an unknown name raises with those there are."""
+    if name not in known:
+        raise ValueError(f"unknown backend {name}: one of {sorted(known)}")
+    return known[name]
+
+
 def with_retries(call: Callable[[], object], attempts: int = 6, least: float = 1.0, most: float = 20.0, sleep: Callable[[float], None] = time.sleep):  # noqa: ANN201
     """(result, error): the call's result, after waits that double, or None and the last error's text."""
     error = ""
@@ -115,47 +140,68 @@ def embedding_of(text: Column, make: Callable[[], Embedder] = HashingEmbedder) -
 
 
 def abstract_of(text: Column, words: int, leaf: bool, make: Callable[[], Abstractor] = LeadAbstractor) -> Column:
-    @F.pandas_udf("string")
-    def abstract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A struct of text, the abstract, and error, why there is none after all attempts. Null gives both null."""
+
+    @F.pandas_udf("struct<text:string,error:string>")
+    def abstract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make()
         for s in batches:
-            yield s.map(lambda t: None if t is None else with_retries(lambda: model.abstract(t, words, leaf))[0])
+            yield pd.DataFrame([(None, None) if t is None else with_retries(lambda t=t: model.abstract(t, words, leaf)) for t in s], columns=["text", "error"])
 
     return abstract(text)
 
 
-# Prompts, in this project's own words.
-LENGTHS = {"short": "Answer in a few words. ", "medium": "Answer in one sentence. ", "long": "Answer in one paragraph. ", "auto": ""}
-RULES = (
-    "You answer a question from documents that are looked up for you. You may look up again at most {times} times. First write 'Thought: ' and reason in at most {words} words. "
-    "Then end with a new line: 'Retrieve: ' and what to look up next, or 'Answer: ' and the answer. {length}Say 'Not mentioned' if the documents don't tell."
-)
-EXAMPLE = (
-    {"role": "user", "content": "Documents found:\n\nThe mill stands in Ostholm. Ostholm lies on the river Vara.\n\nThe question: On which river does the mill stand?\nLookups left: {times}\nThought: "},
-    {"role": "assistant", "content": "The mill is in Ostholm, and Ostholm is on the Vara.\nAnswer: the Vara"},
-)
-LAST_TURN = " (none: close with 'Answer: ' and what you know)"
+# Prompts. A turn is a few labelled lines that read_turn() reads back, so readers of any kind get its parts.
+LENGTHS = {"short": "a few words", "medium": "one sentence", "long": "one paragraph", "auto": "as many words as it needs"}
+_ASKS, _LOOKUPS, _FOUND = "ASKED", "LOOKUPS", "FOUND"
+_OPEN = "{n} more allowed"
+_LAST = "none left, so this reply must be an `Answer: `"
+ABSTENTION = "Not mentioned"
+
+
+def turn(passages: str, question: str, remaining: int) -> str:
+    """What a reader is told in one round: the question, whether it may look up again, and the passages found. At
+    exactly 0 remaining lookups it must answer."""
+    allowed = _LAST if remaining == 0 else _OPEN.format(n=remaining)
+    return "\n".join((f"{_ASKS}: {question}", f"{_LOOKUPS}: {allowed}", f"{_FOUND}:", passages))
+
+
+def read_turn(text: str) -> tuple[str, str]:
+    """Question and passages of a turn, or of any text in their place: no question, all passages."""
+    m = re.match(rf"{_ASKS}: (.*?)\n(?:{_LOOKUPS}: [^\n]*\n)?{_FOUND}:\n?(.*)", text, re.S)
+    return (m[1], m[2]) if m else ("", text)
+
+
+def turn_is_last(text: str) -> bool:
+    return f"{_LOOKUPS}: {_LAST}\n" in text
 
 
-def abstract_prompt(text: str, words: int, keywords: bool, leaf: bool) -> str:
-    what = f"List at most {words} keywords" if keywords else f"Summarise in at most {words} words"
-    return f"{what} of {'these passages' if leaf else 'these summaries'}. Give nothing else.\n\n{text}"
+def rules(times: int, kind: str, words: int) -> str:
+    """The reply format that parse_response() reads, as a list."""
+    return "\n".join((
+        f"Each message gives you a question ({_ASKS}), how often you may still search ({_LOOKUPS}) and passages ({_FOUND}). Build every reply from two parts:",
+        f"1. `Thought: ` with your reasoning, {words} words at most;",
+        f"2. on a line of its own either `Retrieve: ` with one search ({times} in all) or `Answer: ` with {LENGTHS[kind]}.",
+        f"Where the passages are silent, the answer is `{ABSTENTION}`.",
+    ))
 
 
-def agent_turn(documents: str, question: str, remaining: int) -> str:
-    """The user's turn: documents, question, how often one may still look up; at exactly 0 the duty to answer."""
-    return f"Documents found:\n\n{documents}\n\nThe question: {question}\nLookups left: {remaining}{LAST_TURN if remaining == 0 else ''}\nThought: "
+def example(times: int) -> list[dict[str, str]]:
+    """A worked exchange that shows both replies: a search, where one is allowed, and an answer."""
+    question = "Who painted the ceiling of the town hall that burnt down in 1911?"
+    first, second = "Two town halls burnt down: that of Brenn in 1874 and that of Saltau in 1911.", "The ceiling in Saltau was the work of Ida Klee."
+    search = [{"role": "user", "content": turn(first, question, times)}, {"role": "assistant", "content": "Thought: 1911 points to Saltau; the painter is still unknown.\nRetrieve: painter of the ceiling in the town hall of Saltau"}]
+    close = [{"role": "user", "content": turn(second if times > 0 else f"{first} {second}", question, max(0, times - 1))}, {"role": "assistant", "content": "Thought: Saltau's ceiling was painted by Ida Klee.\nAnswer: Ida Klee"}]
+    return [*(search if times > 0 else []), *close]
 
 
-def agent_messages(documents: str, question: str, times: int, kind: str = "short", words: int = 500, example: bool = True) -> list[dict[str, str]]:
-    """The first messages of an agent: rules, an example, the first turn."""
-    out = [{"role": "system", "content": RULES.format(times=times, words=words, length=LENGTHS[kind])}]
-    if example:
-        out += [{"role": m["role"], "content": m["content"].format(times=times)} for m in EXAMPLE]
-    return [*out, {"role": "user", "content": agent_turn(documents, question, times)}]
+def agent_messages(documents: str, question: str, times: int, kind: str = "short", words: int = 500, shots: bool = True) -> list[dict[str, str]]:
+    """The first messages of an agent: rules, a worked exchange, the first turn."""
+    return [{"role": "system", "content": rules(times, kind, words)}, *(example(times) if shots else []), {"role": "user", "content": turn(documents, question, times)}]
 
 
 def plain_prompt(documents: str, question: str, kind: str = "short", retrieval: bool = True) -> list[dict[str, str]]:
-    """Messages of a single-shot answer, with or without documents."""
-    body = f"Documents:\n\n{documents}\n\nThe question: {question}" if retrieval else f"The question: {question}"
-    return [{"role": "system", "content": f"Answer the question{' from the documents' if retrieval else ''}. {LENGTHS[kind]}End with 'Answer: ' and the answer."}, {"role": "user", "content": body}]
+    """Messages of a single-shot answer, with or without passages."""
+    source = f"Use the passages ({_FOUND}) only" if retrieval else "Use what you know"
+    asked = f"{_ASKS}: {question}" + (f"\n{_FOUND}:\n{documents}" if retrieval else "")
+    return [{"role": "system", "content": f"{source}. Close with `Answer: ` and {LENGTHS[kind]}."}, {"role": "user", "content": asked}]

@@ -1,7 +1,7 @@
 """Exact vector search: blocks of the base against a stated set of queries, and all pairs in tiles.
 
-The products are made by matrix multiplication in Arrow batches, never by a nested-loop join: the query side is
-collected up to a stated bound and broadcast, larger query sets are cut into several passes.
+The products are made by matrix multiplication in Arrow batches, never by a nested-loop join. A query side within a
+stated bound is broadcast; a larger one meets the base in a grid of blocks of both sides, so nobody holds either.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Query vectors that are broadcast at a time.
-QUERIES = 20_000
+#: Most query vectors that are broadcast; vectors of a side in one block of the grid.
+QUERIES, TILE = 20_000, 32_768
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -37,6 +37,20 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _kept(ids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, metric: str, include_self: bool):  # noqa: ANN202
+    """The k best of a block of vectors for each query, as record batches; whatever ties with the k-th stays, so that
+    ties go by id in the end."""
+    for lo in range(0, len(ids), 1024) if len(own) else ():
+        d = distances(q[lo : lo + 1024], v, metric)
+        key = np.where(np.isnan(d), np.inf, d)
+        if not include_self:
+            key = np.where(ids[lo : lo + 1024, None] == own[None, :], np.nan, key)
+        at = min(k, key.shape[1]) - 1
+        kth = np.partition(key, at, axis=1)[:, at : at + 1]
+        r, c = np.nonzero((key <= kth) | (np.isnan(kth) & ~np.isnan(key)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(own[c]), pa.array(d[r, c], from_pandas=True)], names=["query_id", "vec_id", "distance"])
+
+
 def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", include_self: bool = True) -> DataFrame:
     """query_id, rank, vec_id and distance of the k nearest vectors of every query, exactly; ties by vec_id.
 
@@ -46,39 +60,37 @@ def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     batch at most, and the ranking is merged per query.
     """
     spark = base.sparkSession
-    q = queries.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    q = queries.where("embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
+    x = base.where("embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
     n = q.count()
     schema = "query_id long, vec_id long, distance double"
-    parts = []
-    slices = max(1, -(-n // QUERIES))
-    for s in range(slices):
-        piece = q if slices == 1 else q.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s)
-        table = piece.toArrow().combine_chunks()
+    if n <= QUERIES:
+        table = q.toArrow().combine_chunks()
         ids = table.column("vec_id").to_numpy() if len(table) else np.zeros(0, np.int64)
         held = spark.sparkContext.broadcast((ids, _rows(table.column("e").combine_chunks()) if len(table) else np.zeros((0, 0))))
 
-        def run(batches, held=held):  # noqa: ANN001, ANN202
-            ids, x = held.value
+        def run(batches):  # noqa: ANN001, ANN202
+            ids, v = held.value
             for b in batches:
-                if not len(ids) or not b.num_rows:
-                    continue
-                own, v = b.column(0).to_numpy(), _rows(b.column(1))
-                for lo in range(0, len(ids), 1024):
-                    d = distances(x[lo : lo + 1024], v, metric)
-                    key = np.where(np.isnan(d), np.inf, d)
-                    if not include_self:
-                        key = np.where(ids[lo : lo + 1024, None] == own[None, :], np.nan, key)
-                    most = min(k + 8, key.shape[1])
-                    # Whatever ties with the k-th best of this batch stays, so that ties go by id in the end.
-                    kth = np.sort(key, axis=1)[:, min(k, key.shape[1]) - 1 : min(k, key.shape[1])]
-                    r, c = np.nonzero((key <= kth) | (np.isnan(kth) & ~np.isnan(key)))
-                    del most
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(own[c]), pa.array(d[r, c], from_pandas=True)], names=["query_id", "vec_id", "distance"])
-
-        parts.append(base.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).mapInArrow(run, schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                yield from _kept(ids, v, b.column(0).to_numpy(), _rows(b.column(1)), k, metric, include_self)
+
+        found = x.mapInArrow(run, schema)
+    else:
+        across, down = -(-x.count() // TILE) or 1, -(-n // TILE)
+        place = lambda seed, most: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(most)).cast("int")
+        every = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+        own = x.withColumn("i", place(1, across)).withColumn("j", every(down)).withColumn("asks", F.lit(False))
+        asking = q.withColumn("j", place(2, down)).withColumn("i", every(across)).withColumn("asks", F.lit(True))
+
+        def meet(table: pa.Table) -> pa.Table:
+            asks = table.column("asks").to_numpy(zero_copy_only=False)
+            ids, e = table.column("vec_id").to_numpy(), table.column("e").combine_chunks()
+            if not asks.any() or asks.all():
+                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+            v = _rows(e)
+            return pa.Table.from_batches(list(_kept(ids[asks], v[asks], ids[~asks], v[~asks], k, metric, include_self)))
+
+        found = own.unionByName(asking).groupBy("i", "j").applyInArrow(meet, schema)
     order = W.partitionBy("query_id").orderBy(F.asc_nulls_last(F.round("distance", 9)), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 

@@ -1,9 +1,8 @@
 """Similarity trees over vectors: spanning edges, layered merge, rebalancing, prototypes, forests and bucketed trees.
 
-A tree depends on the pairs of vectors only through the maximum spanning tree, so nobody sorts all pairs: a tree of
-up to TILE x TILES leaves gets its spanning edges from tiles in parallel (the spanning edges of all pairs of tiles
-contain the tree's) and is folded in one task; larger ones are cut into buckets of similar vectors, each bucket is a
-tree of its own, built in parallel, and a tree over the buckets' roots joins them.
+A tree depends on the pairs of vectors only through the maximum spanning tree, so nobody sorts all pairs. A tree of up
+to LARGEST leaves is built in one task; larger ones are cut into buckets of similar vectors, each bucket is a tree of
+its own, built in parallel, and a tree over the buckets' roots joins them.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql.window import Window as W
 from ..session import written
 
 MAX_CHILDREN, BUCKET, FANOUT, SAMPLE, ROUNDS = 40, 2048, 32, 8192, 5
+#: Most leaves of a tree that one task builds (its work is quadratic in them); rounds of division by centres.
+LARGEST, DEPTH = 16_384, 12
 NODES = "tree_id int, node_id long, layer int, parent_id long, embedding array<double>"
 
 
@@ -167,6 +168,17 @@ def _frame(tree: int, ids: np.ndarray, parent: list[int], layer: list[int], emb:
     return pd.DataFrame({"tree_id": tree, "node_id": number, "layer": layer, "parent_id": pd.array(up, "Int64"), "embedding": list(emb)})
 
 
+def neighbour_links(x: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Each row with its k most similar others by cosine, ties by position."""
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    out = []
+    for lo in range(0, len(u), 512):
+        s = u[lo : lo + 512] @ u.T
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
+        out += [(lo + a, int(b)) for a, row in enumerate(np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(u) - 1)]) for b in row]
+    return out
+
+
 def star(n: int) -> tuple[list[int], list[int]]:
     """Parents and layers of n leaves under one root: the shape of a tree that can't be built otherwise."""
     return [n] * n + [-1], [0] * n + [1]
@@ -178,7 +190,7 @@ def forest(leaves: DataFrame, most: int | None = MAX_CHILDREN) -> DataFrame:
     leaves has tree_id, node_id (unique in its tree) and embedding; null vectors are left out; rows of one node_id
     count once. Inner nodes are numbered per tree from the tree's greatest leaf id on, so ids are unique in a tree.
     A tree whose vectors have several lengths becomes a star under one root without an embedding.
-    For trees of up to a few ten thousand leaves; larger ones go through bucketed_tree.
+    One task holds a whole tree; grown() sends those of more than LARGEST leaves through bucketed_tree.
     """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,6 +206,19 @@ def forest(leaves: DataFrame, most: int | None = MAX_CHILDREN) -> DataFrame:
     return leaves.where("embedding is not null and node_id is not null").select("tree_id", "node_id", F.col("embedding").cast("array<double>").alias("embedding")).groupBy("tree_id").applyInPandas(build, NODES)
 
 
+def grown(leaves: DataFrame, most: int | None = MAX_CHILDREN, bucket: int = BUCKET, largest: int = LARGEST) -> DataFrame:
+    """As forest(), for trees of any size: those of more than `largest` leaves are built in buckets, one after the
+    other; there can't be more of them than leaves / largest. Their names come to the driver."""
+    rows = leaves.where("embedding is not null and node_id is not null")
+    big = [r.tree_id for r in rows.groupBy("tree_id").agg(F.count_distinct("node_id").alias("n")).where(F.col("n") > largest).collect()]
+    if not big:
+        return forest(rows, most)
+    out = forest(rows.where(~F.col("tree_id").isin(big)), most)
+    for t in big:
+        out = out.unionByName(bucketed_tree(rows.where(F.col("tree_id") == t), bucket, most, t))
+    return out
+
+
 def neighbour_tree(leaves: DataFrame, k: int = 32, most: int | None = MAX_CHILDREN, tree_id: int = 0) -> DataFrame:
     """The nodes of one tree from the links of each leaf with its k nearest others, by cosine, ranked by dot product.
     The links are found in parallel and folded in one task; for more leaves than that holds, see bucketed_tree."""
@@ -232,33 +257,46 @@ def document_tree(leaves: DataFrame, most: int | None = MAX_CHILDREN, bucket: in
 def partition(leaves: DataFrame, bucket: int = BUCKET, fanout: int = FANOUT, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """leaves with `bucket`, so that no bucket holds more than so many vectors: oversized parts are divided among
     centres (evenly spaced rows of an evenly spaced sample of bounded size, moved `rounds` times to the mean direction
-    of their vectors; an empty centre restarts at a sampled row), again and again. A part that won't divide is cut into
-    runs of equal length by id. Samples are bounded by `sample` rows per oversized part."""
+    of their vectors; an empty centre restarts at a sampled row), again and again. A part that won't divide, or is still
+    too large after DEPTH rounds, is cut by hashes of ids, until none is over the limit. Samples are about `sample` rows
+    per oversized part, and one pass serves all parts."""
     part = written(leaves.where("embedding is not null").select("node_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit("0").alias("bucket")), "part")
     spark = leaves.sparkSession
-    for depth in range(12):
-        sizes = {r.bucket: r.n for r in part.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).collect()}
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node_id")
+        k = int(pdf["k"].iloc[0])
+        s = np.array(pdf["embedding"].tolist(), np.float64)
+        s = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12)
+        c = s[np.linspace(0, len(s) - 1, k).astype(int)]
+        for r in range(rounds):
+            a = (s @ c.T).argmax(1)
+            for j in range(k):
+                own = s[a == j]
+                m = own.mean(0) if len(own) else s[(r + j) % len(s)]
+                c[j] = m / max(np.linalg.norm(m), 1e-12)
+        c = c[np.unique((s @ c.T).argmax(1))]
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "centres": [list(map(list, c))]})
+
+    depth = 0
+    while True:
+        over = part.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+        sizes = {r.bucket: r.n for r in over.collect()}
         if not sizes:
             break
-        models = {}
-        for name, n in sizes.items():
-            k = int(min(max(2, -(-n // bucket)), fanout, n))
-            step = max(1, n // max(8 * k, sample))
-            rows = part.where(F.col("bucket") == name).where(F.pmod(F.xxhash64("node_id"), F.lit(step)) == 0).orderBy("node_id").limit(max(8 * k, sample)).select("embedding").toPandas()
-            s = np.array(rows["embedding"].tolist(), np.float64)
-            s = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12)
-            c = s[np.linspace(0, len(s) - 1, k).astype(int)]
-            for r in range(rounds):
-                a = (s @ c.T).argmax(1)
-                for j in range(k):
-                    own = s[a == j]
-                    m = own.mean(0) if len(own) else s[(r + j) % len(s)]
-                    c[j] = m / max(np.linalg.norm(m), 1e-12)
-            used = np.unique((s @ c.T).argmax(1))
-            models[name] = c[used] if len(used) > 1 else None
+        # All oversized parts' samples in one pass, each part's centres in a task of its own. A sample is a slice of
+        # hashes, so its size is near its aim: never under k rows, which an aim of 8 k and more assures.
+        models: dict[str, np.ndarray | None] = dict.fromkeys(sizes)
+        if depth < DEPTH:
+            k = F.least(F.greatest(F.lit(2), F.ceil(F.col("n") / bucket)), F.lit(fanout), F.col("n")).cast("int")
+            aims = over.withColumn("k", k).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(8 * F.col("k"), F.lit(sample)))))
+            drawn = part.join(F.broadcast(aims), "bucket").where(F.pmod(F.xxhash64("node_id"), F.col("step")) == 0)
+            for r in drawn.groupBy("bucket").applyInPandas(fit, "bucket string, centres array<array<double>>").toLocalIterator():
+                models[r.bucket] = np.array(r.centres) if len(r.centres) > 1 else None
+        depth += 1
         held = spark.sparkContext.broadcast((models, sizes))
 
-        def divide(it, held=held):  # noqa: ANN001, ANN202
+        def divide(it, held=held, turn=depth):  # noqa: ANN001, ANN202
             models, sizes = held.value
             for pdf in it:
                 names = pdf["bucket"].to_numpy().astype(object)
@@ -268,7 +306,7 @@ def partition(leaves: DataFrame, bucket: int = BUCKET, fanout: int = FANOUT, sam
                         continue
                     if models[name] is None:
                         runs = -(-sizes[name] // bucket) * 2
-                        h = (pdf["node_id"].to_numpy()[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+                        h = (pdf["node_id"].to_numpy()[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)) >> np.uint64(24)
                         names[at] = [f"{name}.{int(v % runs)}" for v in h]
                     else:
                         x = np.array(pdf["embedding"].iloc[at].tolist(), np.float64)
@@ -279,17 +317,19 @@ def partition(leaves: DataFrame, bucket: int = BUCKET, fanout: int = FANOUT, sam
     return part
 
 
-def bucketed_tree(leaves: DataFrame, bucket: int = BUCKET, most: int | None = MAX_CHILDREN, tree_id: int = 0) -> DataFrame:
+def bucketed_tree(leaves: DataFrame, bucket: int = BUCKET, most: int | None = MAX_CHILDREN, tree_id: int = 0, knn: int | None = None) -> DataFrame:
     """The nodes of one tree over any number of leaves: a fragment per bucket, their roots raised to one layer by
     chains of single children, numbers made global by prefix sums over the buckets, and a tree over the roots.
 
-    leaves has node_id (unique, up to 2^62) and embedding. Inner nodes are numbered from the greatest leaf id on.
+    leaves has node_id (unique, up to 2^62) and embedding. Inner nodes are numbered from the greatest leaf id on. With
+    knn, a bucket's tree comes from the links of each leaf with its knn nearest others in the bucket.
     """
     part = partition(leaves.dropDuplicates(["node_id"]), bucket)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id")
-        parent, layer, emb = grow(np.array(pdf["embedding"].tolist(), np.float64), most)
+        x = np.array(pdf["embedding"].tolist(), np.float64)
+        parent, layer, emb = grow_from_links(x, neighbour_links(x, knn), most) if knn else grow(x, most)
         up = pd.array([None if p < 0 else p for p in parent], "Int64")
         ids = np.r_[pdf["node_id"].to_numpy(), np.full(len(parent) - len(pdf), -1)]
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "local": range(len(parent)), "leaf_id": ids, "layer": layer, "up": up, "embedding": list(emb)})
