@@ -2,10 +2,12 @@
 
 Vectors are standardised and reduced to their leading principal components; moments, expectation steps and counts run
 over all rows. Mixtures of several sizes are fitted in the same passes, with covariances shrunk towards spheres, and
-an information criterion picks the size. A component's densest members represent it. Linked groups then come from the
-components: a vector belongs to every component whose responsibility is near its best one's; one that is similar to a
-representative is linked by it, the others are compared exactly with the members of their components, in blocks of
-bounded size; pieces of groups that meet in a vector are joined by connected components.
+an information criterion picks the size. A component with many members is divided by a mixture of its own, fitted in a
+task of its own, and so on: components grow in number with the data, not in size. A component's densest members
+represent it. Linked groups then come from the components: a vector belongs to every component whose responsibility is
+near its best one's; one that is similar to a representative is linked by it, the others are compared exactly with the
+members of their components, in blocks of bounded size; pieces of groups that meet in a vector are joined by connected
+components.
 """
 
 from __future__ import annotations
@@ -18,16 +20,18 @@ from pyspark.sql.window import Window as W
 
 from ..functions.vectors import binary, hash_sample, matrix, unit_vectors
 from ..operators.graph import components
-from ..session import written
+from ..session import spread, written
 
 WIDTH, REDUCED = 64, 16
 #: Numbers of components that the criterion chooses from; rows that start the fit; steps on those and on all rows.
 SIZES, START, START_STEPS, STEPS = (16, 32, 64, 128), 8192, 12, 3
+#: Members over which a component is divided; rows that fit its division, and most parts of one division.
+DIVIDE, PART_SAMPLE, PARTS = 8192, 4096, 64
 #: Shrinkage of covariances towards a sphere, least variance, share of the best responsibility that makes a member.
 SHRINK, FLOOR, MEMBER = 0.1, 1e-3, 0.1
 #: Similarity that links, members that make a cluster, representatives of a component, typical members of a cluster.
 LINK, LEAST, REPRESENTATIVES, TYPICAL = 0.8, 5, 2, 3
-#: Members of a component in one block; a larger one is cut into a grid of blocks.
+#: Members of a component in one block; a component that no division made smaller is cut into a grid of blocks.
 BLOCK = 32_768
 
 _UP = np.triu_indices(REDUCED)
@@ -133,16 +137,57 @@ def _moments(units: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The reduction and the chosen mixture, with the vectors of its representatives. Its size is fixed."""
+    """The reduction, the chosen mixture, the mixtures that divide its components, and the vectors that represent the
+    components that are left whole (leaves). About 1.8 kB a leaf, and a leaf holds some thousand vectors."""
 
     def __init__(self, mean: np.ndarray, turn: np.ndarray, mix: Mixture) -> None:
         self.mean, self.turn, self.mix = mean, turn, mix
+        self.below: dict[int, tuple[Mixture, int]] = {}  # of a divided component its mixture, its first part's number
+        self.was: dict[int, int] = {}  # of a divided component the members it had
+        self.counts = np.zeros(0, np.int64)  # of the leaves
+        self.size = len(mix.weight) if mix is not None else 0
         self.hub_ids, self.hubs = np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32)
-        self.main = np.zeros(0, np.int64)
 
     def reduced(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) @ self.turn
 
+    def density(self, t: np.ndarray) -> np.ndarray:
+        """Log density of each row under the chosen mixture."""
+        logs = self.mix.logs(t)
+        top = logs.max(1)
+        return top + np.log(np.exp(logs - top[:, None]).sum(1))
+
+    def belong(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, whether it is the row's own) of all leaves that each row belongs to. A division passes a row on
+        to the parts whose responsibility is near the best one's; the likeliest part of the likeliest is its own."""
+        row, part, own = _near(self.mix.logs(t))
+        done = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        while len(row):
+            divided = np.isin(part, self.inner)
+            done.append((row[~divided], part[~divided], own[~divided]))
+            row, part, own = row[divided], part[divided], own[divided]
+            order = np.argsort(part, kind="stable")
+            row, part, own = row[order], part[order], own[order]
+            fresh = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+            for lo, hi in zip(edges, np.r_[edges[1:], len(part)]):
+                mix, first = self.below[int(part[lo])]
+                r, k, best = _near(mix.logs(t[row[lo:hi]]))
+                fresh.append((row[lo:hi][r], first + k, own[lo:hi][r] & best))
+            row, part, own = (np.concatenate(z) for z in zip(*fresh))
+        return tuple(np.concatenate(z) for z in zip(*done))
+
+    @property
+    def inner(self) -> np.ndarray:
+        return np.fromiter(self.below, np.int64, len(self.below))
+
+
+def _near(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and components whose responsibility is MEMBER of the row's best at least, and whether it is the best."""
+    best = logs.argmax(1)
+    row, part = np.nonzero(logs >= logs[np.arange(len(logs)), best][:, None] + np.log(MEMBER))
+    return row, part, part == best[row]
+
 
 def fit(units: DataFrame) -> Model | None:
     """The reduction and mixture of all rows of units (node_id, v); None for an empty table."""
@@ -180,47 +225,105 @@ def fit(units: DataFrame) -> Model | None:
     free = REDUCED + REDUCED * (REDUCED + 1) // 2 + 1
     criterion = [-2 * log + (size * free - 1) * np.log(n) for log, size in zip(logs, sizes)]
     model.mix = before[int(np.argmin(criterion))]
+    model.size = len(model.mix.weight)
+    divide(units, model)
     return model
 
 
-def _represent(units: DataFrame, model: Model) -> tuple[Model, np.ndarray]:
-    """The model with its components' densest members, and the number of members of each component."""
+def _counts(units: DataFrame, model: Model) -> np.ndarray:
+    """Members of each leaf, over all rows; other components have 0."""
+    shared = units.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        model, n = shared.value, np.zeros(shared.value.size, np.int64)
+        for b in batches:
+            x = matrix(b.column(0), WIDTH)
+            for lo in range(0, len(x), 4096):
+                n += np.bincount(model.belong(terms(model.reduced(x[lo : lo + 4096])))[1], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.float64))], names=["key", "value"])
+
+    return _sum_by_key(units.select("v").mapInArrow(run, "key int, value double"), model.size).astype(np.int64)
+
+
+def divide(units: DataFrame, model: Model) -> np.ndarray:
+    """Give components of more than DIVIDE members mixtures of their own, fitted on about PART_SAMPLE rows of each in
+    parallel, until no division makes a component much smaller. Returns the members of each leaf."""
+    spark = units.sparkSession
+    whole: set[int] = set()
+    while True:
+        counts = _counts(units, model)
+        for k, (mix, first) in model.below.items():
+            if counts[first : first + len(mix.weight)].max(initial=0) > 0.9 * model.was.get(k, np.inf):
+                whole.update(range(first, first + len(mix.weight)))  # copies and the like: dividing on won't help
+        large = {int(k): int(counts[k]) for k in np.flatnonzero(counts > DIVIDE) if int(k) not in whole}
+        if not large:
+            model.counts = counts
+            return counts
+        shared = spark.sparkContext.broadcast((model, large))
+
+        def draw(batches, shared=shared):  # noqa: ANN001, ANN202
+            model, large = shared.value
+            for b in batches:
+                ids, x = b.column(0).to_numpy(), matrix(b.column(1), WIDTH)
+                for lo in range(0, len(x), 4096):
+                    y = model.reduced(x[lo : lo + 4096])
+                    row, part, own = model.belong(terms(y))
+                    h = (ids[lo : lo + 4096].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(34)).astype(np.float64)[row] / (1 << 30)
+                    rate = np.array([PART_SAMPLE / large[k] if k in large else 0.0 for k in part.tolist()])
+                    at = np.flatnonzero(own & (h < rate))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), binary(y[row[at]].astype("<f4"))], names=["k", "y"])
+
+        def part(key, table):  # noqa: ANN001, ANN202
+            k = key[0].as_py()
+            y = matrix(table.column("y"), REDUCED).astype(np.float64)
+            mix = start(y, int(min(PARTS, max(2, -(-2 * large[k] // DIVIDE)), max(1, len(y) // 16))), seed=6)
+            return pa.table({"k": pa.array([k], pa.int32()), "mix": pa.array([np.concatenate([mix.weight, mix.mean.ravel(), mix.cov.ravel()]).tobytes()], pa.binary())})
+
+        got = units.select("node_id", "v").mapInArrow(draw, "k int, y binary").groupBy("k").applyInArrow(part, "k int, mix binary").toArrow()
+        for k, raw in sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist())):
+            v = np.frombuffer(raw)
+            n = len(v) // (1 + REDUCED + REDUCED * REDUCED)
+            if n > 1:
+                mix = Mixture(v[:n], v[n : n + n * REDUCED].reshape(n, REDUCED), v[n + n * REDUCED :].reshape(n, REDUCED, REDUCED))
+                model.below[k], model.was[k] = (mix, model.size), large[k]
+                model.size += n
+        whole.update(k for k in large if k not in model.below)
+
+
+def _represent(units: DataFrame, model: Model) -> None:
+    """Give the model its leaves' densest members, of each leaf up to REPRESENTATIVES, and the ids these go by."""
     shared = units.sparkSession.sparkContext.broadcast(model)
-    size = len(model.mix.weight)
 
     def run(batches):  # noqa: ANN001, ANN202
-        model, best, count = shared.value, {}, np.zeros(size, np.int64)
+        model, best = shared.value, {}
         for b in batches:
             ids, x = b.column(0).to_numpy(), matrix(b.column(1), WIDTH)
             for lo in range(0, len(x), 4096):
                 part = x[lo : lo + 4096]
-                logs = model.mix.logs(terms(model.reduced(part)))
-                count += (logs >= logs.max(1, keepdims=True) + np.log(MEMBER)).sum(0)
-                own = logs.argmax(1)
-                for k in np.unique(own):
-                    rows = np.flatnonzero(own == k)
-                    top = rows[np.argsort(-logs[rows, k], kind="stable")[:REPRESENTATIVES]]
-                    best.setdefault(k, []).extend((float(logs[r, k]), int(ids[lo + r]), part[r].tobytes()) for r in top)
+                t = terms(model.reduced(part))
+                density = model.density(t)
+                row, leaf, own = model.belong(t)
+                row, leaf = row[own], leaf[own]
+                order = np.lexsort((ids[lo + row], -density[row], leaf))
+                row, leaf = row[order], leaf[order]
+                first = np.arange(len(leaf)) - np.searchsorted(leaf, leaf) < REPRESENTATIVES
+                for r, k in zip(row[first].tolist(), leaf[first].tolist()):
+                    best.setdefault(k, []).append((float(density[r]), int(ids[lo + r]), part[r].tobytes()))
         rows = [(int(k), d, i, v) for k, found in best.items() for d, i, v in sorted(set(found), key=lambda z: (-z[0], z[1]))[:REPRESENTATIVES]]
-        rows += [(k - size, float(c), 0, b"") for k, c in enumerate(count)]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.binary()))], names=["k", "d", "node_id", "v"])
 
-    found = written(units.select("node_id", "v").mapInArrow(run, "k int, d double, node_id long, v binary"), "densest")
-    top = found.where("k >= 0").dropDuplicates(["k", "node_id"]).withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(F.desc("d"), "node_id"))).where(F.col("rn") <= REPRESENTATIVES).orderBy("k", "rn").collect()
-    model.hub_ids = np.array([r.node_id for r in top], np.int64)
-    model.hubs = np.frombuffer(b"".join(bytes(r.v) for r in top), "<f4").reshape(-1, WIDTH)
-    # Representatives that are linked with one another go by one name; a component's main one is its densest.
-    name = np.arange(len(top))
-    for a, b in zip(*np.nonzero(model.hubs @ model.hubs.T >= LINK - 1e-7)):
-        name[name == max(name[a], name[b])] = min(name[a], name[b])
-    model.hub_ids = model.hub_ids[name]
-    model.main = np.full(size, -1, np.int64)
-    for k in range(len(top) - 1, -1, -1):
-        model.main[top[k].k] = model.hub_ids[k]
-    counts = np.zeros(size, np.int64)
-    for r in found.where("k < 0").groupBy("k").agg(F.sum("d").alias("n")).collect():
-        counts[r.k + size] = int(r.n)
-    return model, counts
+    found = units.select("node_id", "v").mapInArrow(run, "k int, d double, node_id long, v binary").dropDuplicates(["k", "node_id"])
+    top = found.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(F.desc("d"), "node_id"))).where(F.col("rn") <= REPRESENTATIVES).toArrow()
+    k, rn, ids, x = top.column("k").to_numpy(), top.column("rn").to_numpy(), top.column("node_id").to_numpy(), matrix(top.column("v"), WIDTH)
+    model.hubs = np.zeros((model.size, REPRESENTATIVES, WIDTH), np.float32)
+    model.hubs[k, rn - 1] = x
+    model.hub_ids = np.full((model.size, REPRESENTATIVES), -1, np.int64)
+    # A leaf's representatives that are linked with one another go by the name of the densest of them.
+    main = model.hubs[:, 0]
+    alike = np.einsum("kd,krd->kr", main, model.hubs) >= LINK - 1e-7
+    model.hub_ids[k, rn - 1] = ids
+    model.hub_ids = np.where(alike & (model.hub_ids >= 0), model.hub_ids[:, :1], model.hub_ids)
 
 
 def linked(ids: np.ndarray, x: np.ndarray, hub: np.ndarray, row: np.ndarray, column: np.ndarray, link: float = LINK) -> np.ndarray:
@@ -275,45 +378,66 @@ def linked(ids: np.ndarray, x: np.ndarray, hub: np.ndarray, row: np.ndarray, col
     return least[label]
 
 
-def _belong(units: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
-    """Every vector in every block of every component that it is a member of."""
-    shared = units.sparkSession.sparkContext.broadcast((model, counts))
+def _grid(units: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of rows and of columns of each leaf: its members that its main representative doesn't link, and all."""
+    across = np.maximum(1, -(-model.counts // BLOCK))
+    down = np.ones_like(across)
+    if across.max(initial=1) > 1:
+        shared = units.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):  # noqa: ANN001, ANN202
+            n = np.zeros(shared.value.size, np.int64)
+            for b in batches:
+                x = matrix(b.column(0), WIDTH)
+                for lo in range(0, len(x), 4096):
+                    row, leaf, _, hub = _linked_by(shared.value, x[lo : lo + 4096])
+                    n += np.bincount(leaf[hub != shared.value.hub_ids[leaf, 0]], minlength=len(n))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.float64))], names=["key", "value"])
+
+        free = _sum_by_key(units.select("v").mapInArrow(run, "key int, value double"), model.size)
+        down = np.where(across > 1, np.maximum(1, -(-free.astype(np.int64) // BLOCK)), 1)
+    return down, across
+
+
+def _linked_by(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, own, name of the leaf's representative that links the row, or -1) of all leaves of each row."""
+    row, leaf, own = model.belong(terms(model.reduced(x)))
+    sims = np.einsum("nd,nrd->nr", x[row], model.hubs[leaf])
+    sims[model.hub_ids[leaf] < 0] = -1
+    best = sims.argmax(1)
+    at = np.arange(len(row))
+    return row, leaf, own, np.where(sims[at, best] >= LINK - 1e-7, model.hub_ids[leaf, best], -1)
+
+
+def _belong(units: DataFrame, model: Model) -> DataFrame:
+    """Every vector in every block of every leaf that it is a member of."""
+    shared = units.sparkSession.sparkContext.broadcast((model, *_grid(units, model)))
     schema = "k int, i int, j int, node_id long, hub long, side int, own boolean, density double, v binary"
 
     def run(batches):  # noqa: ANN001, ANN202
-        model, counts = shared.value
-        grid = np.maximum(1, -(-counts // BLOCK))
+        model, down, across = shared.value
         for b in batches:
             ids_all, x_all = b.column(0).to_numpy(), matrix(b.column(1), WIDTH)
             for lo in range(0, len(ids_all), 4096):
                 ids, x = ids_all[lo : lo + 4096], x_all[lo : lo + 4096]
-                logs = model.mix.logs(terms(model.reduced(x)))
-                top = logs.max(1, keepdims=True)
-                density = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-                r, k = np.nonzero(logs >= top + np.log(MEMBER))
-                sims = x @ model.hubs.T
-                best = sims.argmax(1)
-                hub = np.where(sims[np.arange(len(x)), best] >= LINK - 1e-7, model.hub_ids[best], -1)
-                place = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                own = k == logs.argmax(1)[r]
-                g = grid[k]
-                mine = place[r] % g
-                # As a row (but for those whom the component's main representative links) in every column of the
-                # grid, as a column in every row of it.
-                bound = (hub[r] >= 0) & (hub[r] == model.main[k])
-                ri, rj, rr, side = [], [], [], []
-                for s in range(int(g.max())):
-                    at = np.flatnonzero(g > s)
-                    free = at[~bound[at]]
-                    diagonal = free[mine[free] == s]
-                    row_only, col = free[mine[free] != s], at[(mine[at] != s) | bound[at]]
-                    rr += [diagonal, row_only, col]
-                    ri += [np.full(len(diagonal), s), mine[row_only], np.full(len(col), s)]
-                    rj += [np.full(len(diagonal), s), np.full(len(row_only), s), mine[col]]
-                    side += [np.full(len(diagonal), 3), np.full(len(row_only), 1), np.full(len(col), 2)]
+                density = model.density(terms(model.reduced(x)))
+                r, k, own, hub = _linked_by(model, x)
+                place = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[r]
+                free = hub != model.hub_ids[k, 0]
+                single = (down[k] == 1) & (across[k] == 1)
+                # As a column in every row of the grid; as a row, if free, in every column. Both at once where the
+                # leaf is one block.
+                ri, rj, rr, side = [np.zeros(single.sum(), int)], [np.zeros(single.sum(), int)], [np.flatnonzero(single)], [np.where(free[single], 3, 2)]
+                for s in range(int(down[k].max(initial=0))):
+                    at = np.flatnonzero(~single & (down[k] > s))
+                    rr, ri, rj, side = rr + [at], ri + [np.full(len(at), s)], rj + [place[at] % across[k[at]]], side + [np.full(len(at), 2)]
+                for s in range(int(across[k].max(initial=0))):
+                    at = np.flatnonzero(~single & free & (across[k] > s))
+                    rr, ri, rj, side = rr + [at], ri + [place[at] // 7 % down[k[at]]], rj + [np.full(len(at), s)], side + [np.full(len(at), 1)]
                 rr, ri, rj, side = (np.concatenate(z) for z in (rr, ri, rj, side))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[rr].astype(np.int32)), pa.array(ri.astype(np.int32)), pa.array(rj.astype(np.int32)), pa.array(ids[r[rr]]), pa.array(hub[r[rr]]), pa.array(side.astype(np.int32)), pa.array(own[rr]), pa.array(density[r[rr]]), binary(x[r[rr]])],
+                    [pa.array(k[rr].astype(np.int32)), pa.array(ri.astype(np.int32)), pa.array(rj.astype(np.int32)), pa.array(ids[r[rr]]), pa.array(hub[rr]), pa.array(side.astype(np.int32)), pa.array(own[rr]), pa.array(density[r[rr]]), binary(x[r[rr]])],
                     names=["k", "i", "j", "node_id", "hub", "side", "own", "density", "v"],
                 )
 
@@ -322,7 +446,7 @@ def _belong(units: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
 
 def _pieces(key, table):  # noqa: ANN001, ANN202
     ids, side = table.column("node_id").to_numpy(), table.column("side").to_numpy()
-    _, first = np.unique(np.stack([ids, side], 1), axis=0, return_index=True)
+    _, first = np.unique(np.stack([ids, side], 1), axis=0, return_index=True)  # a repeated row is one vector
     ids, side = ids[first], side[first]
     hub = table.column("hub").to_numpy()[first]
     x = matrix(table.column("v"), WIDTH)[first]
@@ -346,15 +470,16 @@ def members(nodes: DataFrame, least: int = LEAST) -> DataFrame:
     nodes has node_id, layer and embeddings; other columns are left aside. Only rows of layer 0 with exactly 64 finite
     numbers, not all 0, take part; rows of one node_id count once; equal vectors are linked like others. The comparison
     within components is exact; a link is missed only between vectors that share no component, i.e. whose
-    responsibilities differ by more than 1 : MEMBER in either's best component. An empty table gives an empty one.
+    responsibilities differ by more than 1 : MEMBER in either's best component. The mixture is fitted on all rows, those
+    that divide its larger components on about PART_SAMPLE rows of each. An empty table gives an empty one.
     """
     spark = nodes.sparkSession
-    units = written(unit_vectors(nodes.where("layer = 0").select("node_id", "embeddings"), "node_id", "embeddings", WIDTH), "units")
+    units = written(unit_vectors(spread(nodes.where("layer = 0").select("node_id", "embeddings")), "node_id", "embeddings", WIDTH), "units")
     model = fit(units)
     if model is None:
         return spark.createDataFrame([], "node_id long, cluster_id long, density double")
-    model, counts = _represent(units, model)
-    pieces = written(_belong(units, model, counts).groupBy("k", "i", "j").applyInArrow(_pieces, "node_id long, piece long, density double"), "pieces")
+    _represent(units, model)
+    pieces = written(_belong(units, model).groupBy("k", "i", "j").applyInArrow(_pieces, "node_id long, piece long, density double"), "pieces")
     # Pieces that meet in a vector are one; the vector keeps the least of its pieces.
     met = pieces.groupBy("node_id").agg(F.min("piece").alias("piece"), F.collect_set("piece").alias("all"), F.first("density", True).alias("density"))
     met = written(met, "met")
