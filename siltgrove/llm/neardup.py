@@ -1,9 +1,10 @@
 """Near-duplicate groups by vertical partitioning of a global n-gram order.
 
-Distinct n-grams are ordered from rare to frequent. A pair at or over the threshold shares one of the rarest grams
-of both sets (the prefix), which gives the candidates by an equi-join with filters on lengths and positions. The
-order is cut into fragments; every set falls into one segment per fragment, the overlap of a candidate pair is
-counted in each fragment on its own, and the counts are summed per pair. The result is exact.
+Distinct n-grams are ordered from rare to frequent, and the order is cut into fragments. The first is each set's own
+rare end (its prefix), as far as two sets must share a gram of it to be similar: an equi-join by gram counts the
+overlap of all pairs there. That count plus what is left of the set whose prefix ends first bounds a pair's whole
+overlap; the few pairs that can still reach the threshold get their overlaps counted in every other fragment, each on
+its own, and the counts are summed per pair. The result is exact.
 """
 
 from __future__ import annotations
@@ -80,27 +81,29 @@ def similar(sets: DataFrame, permille: int = PERMILLE, fragments: int = FRAGMENT
     placed = rows.join(df, "g").withColumn("key", key)
     # Of each set, its grams that occur elsewhere, in the global order. Those that don't come before them.
     ordered = placed.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("key", "g"))).alias("s"))
-    ordered = written(ordered, "ordered")
-    steps = [k / fragments for k in range(1, fragments)]
-    pivots = ordered.select(F.explode("s.key").alias("key")).agg(F.percentile_approx("key", steps, 10_000).alias("p")).first().p or []
-    alone = F.col("n") - F.size("s")
-    prefix = F.col("n") - F.ceil(F.col("n") * (permille / 1000) - 1e-9) + 1
-    taken = ordered.select("rep", "n", alone.alias("alone"), "s", prefix.alias("prefix"))
-    heads = taken.select("rep", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), (F.col("prefix") - F.col("alone")).cast("int")))).alias("pos", "x"))
-    heads = heads.select("rep", "n", F.col("x.g").alias("g"), (F.col("n") - F.col("alone") - F.col("pos")).alias("left"))
+    prefix = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
+    kept = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("s"))).cast("int")
+    ordered = written(ordered.select("rep", "n", "s", kept.alias("kept")).where("kept > 0"), "ordered")
+    heads = ordered.select("rep", "n", (F.size("s") - F.col("kept")).alias("rest"), F.get("s", F.least("kept", F.size("s")) - 1)["key"].alias("end"), F.explode(F.slice("s", F.lit(1), F.col("kept"))["g"]).alias("g"))
     one, two = heads.alias("x"), heads.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9)
-    near = (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") * 1000 >= F.greatest("x.n", "y.n") * permille) & (F.least("x.left", "y.left") >= F.lit(1)) & (F.col("x.g") == F.col("y.g"))
-    bound = F.least(F.col("x.left") + 0, F.col("y.left") + 0)
-    candidates = one.join(two, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), bound.alias("bound"), need.alias("need"))
-    # The first shared gram of a pair bounds its overlap by what is left of both sets; the largest bound is that one's.
-    candidates = candidates.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("bound").alias("bound"), F.first("need").alias("need")).where("bound >= need").drop("bound", "need")
-    fragment = F.size(F.filter(F.array(*[F.lit(p) for p in pivots]).cast("array<double>"), lambda p: p <= F.col("x.key")))
-    segments = ordered.select("rep", F.explode("s").alias("x")).groupBy("rep", fragment.alias("f")).agg(F.collect_list("x.g").alias("seg"))
+    near = (F.col("x.g") == F.col("y.g")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") * 1000 >= F.greatest("x.n", "y.n") * permille)
+    # Common grams that aren't in both prefixes lie behind the end of the one that ends first.
+    rest = F.when(F.col("x.end") < F.col("y.end"), F.col("x.rest")).when(F.col("x.end") > F.col("y.end"), F.col("y.rest")).otherwise(F.greatest("x.rest", "y.rest"))
+    met = one.join(two, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), rest.alias("rest"))
+    met = met.groupBy("a", "b", "na", "nb", "rest").agg(F.count("*").alias("shared"))
+    candidates = written(met.where((F.col("shared") + F.greatest("rest", F.lit(0))) * (1000 + permille) >= (F.col("na") + F.col("nb")) * permille).select("a", "b", "na", "nb"), "candidates")
+    taken = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets_ = ordered.join(taken, "rep", "left_semi")
+    steps = [k / fragments for k in range(1, fragments)]
+    pivots = sets_.select(F.explode("s.key").alias("key")).agg(F.percentile_approx("key", steps, 10_000).alias("p")).first().p or []
+    edges = [float("-inf"), *sorted(set(pivots)), float("inf")]
+    within = lambda lo, hi: lambda x: (x["key"] >= lo) & (x["key"] < hi)
+    cut = [F.struct(F.lit(k).alias("f"), F.transform(F.filter("s", within(lo, hi)), lambda x: x["g"]).alias("seg")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    segments = sets_.select("rep", F.explode(F.array(*cut)).alias("x")).select("rep", "x.f", "x.seg").where("size(seg) > 0")
     left = candidates.join(segments.withColumnRenamed("rep", "a"), "a")
     right = segments.select(F.col("rep").alias("b"), "f", F.col("seg").alias("other"))
     part = left.join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg", "other")).alias("c"))
-    total = part.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("common"))
+    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("common"))
     return total.where(F.col("common") * 1000 >= (F.col("na") + F.col("nb") - F.col("common")) * permille).select("a", "b", "common")
 
 
@@ -111,7 +114,7 @@ def near_duplicates(docs: DataFrame, n: int = N, permille: int = PERMILLE, fragm
     ids are left out. Texts under n tokens, null and empty ones have no grams and are in no class. Whole texts are
     used, however long. A group of copies is one class, whatever its size, and is never expanded into pairs here.
     """
-    sets = written(gram_sets(docs, n).dropDuplicates(["id"]), "grams")
+    sets = written(gram_sets(docs.dropDuplicates(["id"]), n), "grams")
     member = written(classes(sets), "classes")
     reps = sets.join(member.where("id = rep").select("id", "n"), "id").select(F.col("id").alias("rep"), "n", "g")
     return member, similar(reps, permille, fragments)
