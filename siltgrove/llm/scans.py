@@ -4,7 +4,8 @@ Lines that only repeat a name of their PDF are found by an equi-join on (PDF, le
 their form and page. A word broken over a line end is joined unless the corpus writes it with a hyphen. Misread words
 are found by a noisy channel: every distinct word gives the words it may stand for under a table of confusions, an
 equi-join with the corpus's word counts keeps the plausible ones, and Viterbi decoding over the candidate words, with
-bigram counts of the whole corpus as likelihood, picks the reading.
+bigram counts of the whole corpus as likelihood, picks the reading. How probable each confusion is, is estimated from
+the corpus: from the words that one reading outweighs by far.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-# What is written, what the scan shows, and how often, as a share of such characters.
+#: What is written, what the scan shows, and how often to begin with, as a share of such characters.
 CONFUSIONS = (
     ("e", "ø", 0.02), ("e", "c", 0.02), ("a", "ɑ", 0.02), ("o", "0", 0.02), ("t", "f", 0.02), ("i", "l", 0.02), ("i", "1", 0.02),
     ("s", "5", 0.02), ("n", "u", 0.02), ("d", "cl", 0.02), ("l", "1", 0.02), ("u", "ii", 0.02), ("h", "b", 0.02), ("m", "rn", 0.02),
     ("b", "6", 0.01), ("w", "vv", 0.02), ("g", "9", 0.02), ("z", "2", 0.01), ("ri", "n", 0.005), ("nn", "rm", 0.01), ("li", "h", 0.01), ("rn", "m", 0.02),
 )
 CHAPTER = "chapter|part|section|chapitre|partie|kapitel|teil|abschnitt|capítulo|capitulo|parte|sección"
-# End of fixed values.
 #: Characters and runs that no word of the corpus's languages is written with.
 ODD = re.compile(r"ɑ|ø|ii|vv|(?<=[^\W\d]{2})[012569](?=[^\W\d])|(?<=[^\W\d])[012569](?=[^\W\d]{2})|^[12569](?=[^\W\d]{4})|(?<=[^\W\d]{4})[012569]$")
 MARKS = "-­‐‑¬–"
@@ -36,15 +36,18 @@ _COMPOUND = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)+")
 _TAIL = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{MARKS}])[ \t]*$")
 _HEAD = re.compile(r"[ \t]*([^\W\d_][^\W_]*(?:-[^\W_]+)*)")
 _PAGE = re.compile(r"\s*(?:(?:page|seite|página|pagina|pág\.|p\.|s\.)\s*(\d{1,5})(?:\s*(?:of|von|de|sur|/)\s*\d{1,5})?|(\d{1,5})\s*(?:/|of|von|de|sur)\s*\d{1,5}|[-–—·|\[(]\s*(\d{1,5})\s*[-–—·|\])]|(\d{1,5})|([ivxlcdm]{1,9}))\s*", re.I)
-_CHAPTER = re.compile(rf"[\W\d_]*(?:{CHAPTER})\s+(?:\d+|[ivxlc]+)\s*[:.–—-]\s*\S.{{0,70}}", re.I)
+_CHAPTER = re.compile(rf"[\W\d_]*(?:{CHAPTER})\s+(?:\d+|[ivxlc]+)\s*[:.–—-]\s*\S.*", re.I)
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S ){4,}\S")
 _PARTS = re.compile(r"[·|•]")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 #: Smoothing of the word model, and weight of the unigram in the bigram model.
 ALPHA, KAPPA = 0.05, 20.0
-#: Share of the corpus's words up to which a word with odd characters and without a reading is taken for misread; from
-#: three times on in any corpus.
-RARE = 7e-6
+#: Occurrences that the confusions' first probabilities count for, and how often a reading must outweigh a word to
+#: count in their estimate.
+PRIOR, OUTWEIGHS = 20_000, 50
+#: What the context may add to a reading, as a factor; log odds against a word that no language spells so, however
+#: often the scans repeat it.
+ROOM, ODDS = 20, 5.0
 
 
 def roman(s: str) -> int:
@@ -128,39 +131,59 @@ def parse(text: str, heads: set[int], page: int | None, noisy: bool = True):  #
 
 
 _PARSED = "item_id long, field string, page int, target boolean, heads array<int>, text string, words array<string>, compounds array<string>, breaks array<struct<joined:string,compound:string>>"
-_BY_SEEN: dict[str, list[tuple[str, float]]] = {}
-for _true, _seen, _p in CONFUSIONS:
-    _BY_SEEN.setdefault(_seen, []).append((_true, math.log(_p)))
-
-
-def readings(word: str, most: int = 2) -> dict[str, float]:
-    """The words a scanned word may stand for, by up to `most` confusions, with the log probability of the channel;
-    a second one only where the first left something odd."""
-    out: dict[str, float] = {}
-    todo = [(word, 0.0)]
-    for step in range(most):
+_BY_SEEN: dict[str, list[tuple[str, int]]] = {}
+for _k, (_true, _seen, _p) in enumerate(CONFUSIONS):
+    _BY_SEEN.setdefault(_seen, []).append((_true, _k))
+_FIRST = tuple(math.log(p) for _, _, p in CONFUSIONS)
+
+
+def readings(word: str, least: float, logs: tuple[float, ...] = _FIRST) -> dict[str, tuple[float, tuple[int, ...]]]:
+    """The words a scanned word may stand for, with the log probability of the channel, of at least `least`, and the
+    confusions that lead there. Any number of confusions: after the first, those at the first odd place, while there
+    is one."""
+    out: dict[str, tuple[float, tuple[int, ...]]] = {}
+    todo = [(word, 0.0, ())]
+    while todo:
         fresh = []
-        for w, lp in todo:
-            if step and not ODD.search(w):
+        for w, lp, how in todo:
+            odd = ODD.search(w) if how else None
+            if how and not odd:
                 continue
             for seen, trues in _BY_SEEN.items():
                 at = w.find(seen)
                 while at >= 0:
-                    for true, q in trues:
-                        c = w[:at] + true + w[at + len(seen) :]
-                        if c != word and lp + q > out.get(c, -1e9):
-                            out[c] = lp + q
-                            fresh.append((c, lp + q))
+                    if not odd or at < odd.end() and at + len(seen) > odd.start():
+                        for true, k in trues:
+                            c, q = w[:at] + true + w[at + len(seen) :], lp + logs[k]
+                            if c != word and q >= least and (c not in out or q > out[c][0]):
+                                out[c] = (q, (*how, k))
+                                fresh.append((c, q, (*how, k)))
                     at = w.find(seen, at + 1)
         todo = fresh
     return out
 
 
-def _read_vocabulary(batches):  # noqa: ANN001, ANN202
-    for b in batches:
-        # A word that no language spells so is hardly itself, however often the scans repeat it.
-        rows = [(w, n, c, lp + (5.0 if ODD.search(w) else 0.0)) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 2 for c, lp in readings(w).items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.float64()))], names=["w", "n", "cand", "lp"])
+def _read_vocabulary(least: float):  # noqa: ANN202
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            rows = [(w, n, c, list(how), ODDS if ODD.search(w) else 0.0) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 1 and not w.isdigit() for c, (_, how) in readings(w, least).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.float64()))], names=["w", "n", "cand", "how", "odds"])
+
+    return run
+
+
+def channel(good: DataFrame, vocabulary: DataFrame) -> list[float]:
+    """The log probability of each confusion, from good (w, n, cand, how, cn), words that may be misread: how often it
+    explains a word that its likeliest reading outweighs by OUTWEIGHS, of how often its characters are written. That
+    compares the confusions with one another over the whole corpus; their level is the first values', which is that of
+    a scanned page. The first values also count for PRIOR occurrences. A row per confusion comes to the driver."""
+    best = good.groupBy("w").agg(F.max_by(F.struct("n", "how", "cn"), "cn").alias("x")).where(F.col("x.cn") >= OUTWEIGHS * F.col("x.n"))
+    seen = dict(best.select("x.n", F.explode("x.how").alias("k")).groupBy("k").agg(F.sum("n")).collect())
+    as_written = vocabulary.agg(*[F.sum(F.col("n") * ((F.length("w") - F.length(F.replace("w", F.lit(t), F.lit("")))) / len(t))) for t, _, _ in CONFUSIONS]).first()
+    count = [float(x or 0) for x in as_written]
+    first = [p for _, _, p in CONFUSIONS]
+    level = sum(p * n for p, n in zip(first, count)) / max(sum(seen.values()), 1)
+    return [math.log((seen.get(k, 0) * level + p * PRIOR) / (n + PRIOR)) for k, (p, n) in enumerate(zip(first, count))]
 
 
 def decode(observed: list[str], options: list[list[tuple[str, float, int]]], left: str | None, right: str | None, pairs: dict[tuple[str, str], int], total: int) -> list[str]:
@@ -184,15 +207,6 @@ def decode(observed: list[str], options: list[list[tuple[str, float, int]]], lef
     return max(best.values(), key=lambda x: x[0])[1]
 
 
-def _plain(word: str) -> str | None:
-    """A reading of a word with odd characters that the corpus doesn't have: each one by its first confusion."""
-    if not ODD.search(word) or sum(c.isalpha() for c in word) < 4 or set(word.lower()) <= _ROMAN.keys():  # Roman numbers read as they are
-        return None
-    for seen in ("ɑ", "ø", "ii", "vv", "0", "1", "2", "5", "6", "9"):
-        word = word.replace(seen, _BY_SEEN[seen][0][0])
-    return word
-
-
 def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
@@ -210,9 +224,6 @@ def mend(text: str, heads: set[int], page: int | None, counts: dict[str, int], o
         opts = [options[k] for k in run]
         got = decode([words[k] for k in run], opts, words[run[0] - 1] if run[0] else None, words[run[-1] + 1] if run[-1] + 1 < len(words) else None, pairs, total)
         fixed |= {k: w for k, w in zip(run, got) if w != words[k]}
-    for k, w in enumerate(words):
-        if k not in fixed and counts.get(w, 0) <= max(3, RARE * total) and (p := _plain(w)):
-            fixed[k] = p
     joins = {k: mark != "-" or counts.get(compound, 0) <= counts.get(joined, 0) for k, joined, compound, mark in breaks}
     if any(joins.values()):
         defects.add("hyphen")
@@ -292,13 +303,19 @@ def repair(content: DataFrame) -> DataFrame:
     parsed = written(ready.mapInArrow(read, _PARSED), "parsed")
     vocabulary = written(parsed.select(F.explode(F.concat("words", "compounds")).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "vocabulary")
     total = vocabulary.agg(F.sum("n")).first()[0] or 1
-    # What each distinct word may stand for: candidates that outweigh it, with room for what the context may say.
-    guesses = vocabulary.mapInArrow(_read_vocabulary, "w string, n long, cand string, lp double")
+    # What each distinct word may stand for: candidates that outweigh it, with room for what the context may say. A
+    # channel below `least` could not be outweighed by any count.
+    least = math.log(ALPHA / ROOM / (total + ALPHA)) - ODDS
+    guesses = vocabulary.mapInArrow(_read_vocabulary(least), "w string, n long, cand string, how array<int>, odds double")
     known = vocabulary.select(F.col("w").alias("cand"), F.col("n").alias("cn"))
-    good = guesses.join(known, "cand").where((F.col("cn") + ALPHA) * F.exp("lp") * 20 > F.col("n") - 1 + ALPHA)
+    good = written(guesses.join(known, "cand").where("cn > n"), "readings")
+    logs = F.array(*[F.lit(x) for x in channel(good, vocabulary)])
+    lp = F.aggregate("how", F.col("odds"), lambda a, k: a + F.get(logs, k))
+    good = good.withColumn("lp", lp).where((F.col("cn") + ALPHA) * F.exp("lp") * ROOM > F.col("n") - 1 + ALPHA)
     standing = good.groupBy("w").agg(F.first("n").alias("n"), F.collect_list(F.struct("cand", "lp", F.col("cn").alias("n"))).alias("cands"))
-    tokens = parsed.where("target").select("item_id", "field", F.posexplode("words").alias("pos", "w"), "words")
-    tokens = tokens.select("item_id", "field", "pos", "w", F.get("words", F.col("pos") - 1).alias("before"), F.get("words", F.col("pos") + 1).alias("after"))
+    # Each word with its neighbours, without the array it comes from.
+    shifted = F.arrays_zip(F.col("words").alias("w"), F.concat(F.array(F.lit(None).cast("string")), "words").alias("before"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("after"))
+    tokens = parsed.where("target").select("item_id", "field", F.posexplode(shifted).alias("pos", "x")).select("item_id", "field", "pos", "x.w", "x.before", "x.after").where("w is not null")
     suspicious = written(tokens.join(standing, "w").withColumn("cands", F.array_append("cands", F.struct(F.col("w").alias("cand"), F.lit(0.0).alias("lp"), (F.col("n") - 1).alias("n")))), "suspicious")
     # Bigrams that decoding may ask for: around a suspicious word, and between two of them.
     one, two = suspicious.alias("x"), suspicious.alias("y")
@@ -306,18 +323,23 @@ def repair(content: DataFrame) -> DataFrame:
     before = suspicious.where("before is not null").select("item_id", "field", F.col("before").alias("l"), F.explode(names).alias("r"))
     after = suspicious.where("after is not null").select("item_id", "field", F.explode(names).alias("l"), F.col("after").alias("r"))
     between = one.join(two, (F.col("x.item_id") == F.col("y.item_id")) & (F.col("x.field") == F.col("y.field")) & (F.col("x.pos") + 1 == F.col("y.pos"))).select("x.item_id", "x.field", F.explode("x.cands.cand").alias("l"), F.col("y.cands.cand").alias("rs")).select("item_id", "field", "l", F.explode("rs").alias("r"))
-    asked = before.unionByName(after).unionByName(between).distinct()
-    bigrams = parsed.select(F.explode(F.arrays_zip(F.col("words").alias("l"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("r"))).alias("p")).select("p.l", "p.r").where("r is not null").groupBy("l", "r").agg(F.count("*").alias("c"))
-    pairs = asked.join(bigrams, ["l", "r"]).groupBy("item_id", "field").agg(F.collect_list(F.struct("l", "r", "c")).alias("pairs"))
-    options = suspicious.groupBy("item_id", "field").agg(F.collect_list(F.struct("pos", "cands")).alias("options"))
-    # Counts of the words the rules ask for: broken words in both spellings, and words with odd characters.
-    odd = F.filter("words", lambda w: w.rlike("ɑ|ø|ii|vv|[012569]"))
-    wanted = parsed.where("target").select("item_id", "field", F.explode(F.array_distinct(F.concat(odd, "breaks.joined", "breaks.compound"))).alias("w"))
-    counts = wanted.join(vocabulary, "w").groupBy("item_id", "field").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
-    full = parsed.where("target").select("item_id", "field", "page", "heads", "text")
-    for part in (pairs, options, counts):
-        full = full.join(part, ["item_id", "field"], "left")
-    full = full.select("item_id", "field", "page", "heads", "text", "pairs", "options", "counts")
+    asked = before.unionByName(after).unionByName(between)
+    follow = F.arrays_zip(F.col("words").alias("l"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("r"))
+    bigrams = parsed.select(F.explode(follow).alias("p")).select("p.l", "p.r").where("r is not null").groupBy("l", "r").agg(F.count("*").alias("c"))
+    # Counts of the words that breaks over lines ask for, in both spellings.
+    wanted = parsed.where("target and size(breaks) > 0").select("item_id", "field", F.explode(F.array_distinct(F.concat("breaks.joined", "breaks.compound"))).alias("w"))
+    # All that belongs to an item meets in one shuffle.
+    kinds = {"page": "int", "heads": "array<int>", "text": "string", "pair": "struct<l:string,r:string,c:bigint>", "option": "struct<pos:int,cands:array<struct<cand:string,lp:double,n:bigint>>>", "count": "struct<w:string,n:bigint>"}
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select("item_id", "field", *[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    parts = rows(parsed.where("target"), page=F.col("page"), heads=F.col("heads"), text=F.col("text"))
+    parts = parts.unionByName(rows(asked.join(bigrams, ["l", "r"]), pair=F.struct("l", "r", "c")))
+    parts = parts.unionByName(rows(suspicious, option=F.struct("pos", "cands")))
+    parts = parts.unionByName(rows(wanted.join(vocabulary, "w"), count=F.struct("w", "n")))
+    gathered = [F.first(c, True).alias(c) for c in ("page", "heads", "text")]
+    full = parts.groupBy("item_id", "field").agg(*gathered, F.collect_set("pair").alias("pairs"), F.collect_list("option").alias("options"), F.collect_list("count").alias("counts"))
 
     def finish(batches):  # noqa: ANN001, ANN202
         for b in batches:
