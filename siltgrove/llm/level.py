@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .pairs import FUNCTION_WORDS
+from . import language
 from .split import WORD
 
 LEVELS, BUCKETS = 5, 1 << 17
@@ -27,31 +27,26 @@ LEAST_WORDS, LEAST_COUNT = 30, 3
 #: for, bins of levels for the limits between grades.
 ROUNDS, PRIOR, MOST_RATINGS, BINS = 10, 0.1, 3, 600
 _ITEM = re.compile(r"[^\W\d_]+|[^\w\s]")
-_LANGUAGES = tuple(FUNCTION_WORDS)
-_SETS = [frozenset(FUNCTION_WORDS[k].split()) for k in _LANGUAGES]
-_OWN = [s - frozenset().union(*(o for o in _SETS if o is not s)) for s in _SETS]
 
 
-def items(text: str) -> tuple[int, list[int]]:
-    """The language of a text (by function words; the first where there are none) and its distinct items: words and
-    marks, as bucket numbers that belong to the language."""
-    words = [w.lower() for w in _ITEM.findall(text)]
-    distinct = set(words)
-    counts = [0] * len(_OWN)
-    for k, own in enumerate(_OWN):
-        hits = distinct & own
-        counts[k] = len(hits)
-    language = counts.index(max(counts))
-    mark = chr(97 + language)
-    return language, sorted({zlib.crc32((mark + w).encode("utf-8", "surrogatepass")) % BUCKETS for w in distinct})
+def items(text: str, languages: language.Languages) -> tuple[int, list[int]]:
+    """The language of a text (by the words that mark one; the first where there are none) and its distinct items:
+    words and marks, as bucket numbers that belong to the language."""
+    distinct = {w.lower() for w in _ITEM.findall(text)}
+    k = languages.of_words(distinct)
+    mark = chr(97 + k)
+    return k, sorted({zlib.crc32((mark + w).encode("utf-8", "surrogatepass")) % BUCKETS for w in distinct})
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, language and items of each document of at least LEAST_WORDS words. Null ids and texts give no row."""
+    """doc_id, language and items of each document of at least LEAST_WORDS words. Null ids and texts give no row.
+    Languages are learned from the column lang, wherever it is right for most; without it all are one."""
+    languages = language.fit(docs.select("text", "lang")) if "lang" in docs.columns else language.Languages()
+    held = docs.sparkSession.sparkContext.broadcast(language.Languages(languages.names, own=languages.own))
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            got = [items(t) for t in b.column(1).to_pylist()]
+            got = [items(t, held.value) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "language", "items"])
 
     long = docs.where("doc_id is not null").where(F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS)

@@ -56,7 +56,7 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds whose response is no sound reply, with their defect."""
-    return pairs.defects(table(spark, sf_dir, "state_log"))
+    return pairs.defects(table(spark, sf_dir, "state_log"), pairs.project_labels(table(spark, sf_dir, "queries"), table(spark, sf_dir, "documents")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
