@@ -1,9 +1,11 @@
 """Markup residue in text: which kinds of markup a text holds, and its clean text with the structure kept.
 
-HTML goes through the standard library's streaming parser, whose events build lines with their amounts of text, of
-link text and of tags. The text-to-tag ratio of the lines is smoothed by a Gaussian and cut at a threshold found by
-two-means clustering; lines below it that are mostly links are left out as page furniture. Headings, lists, code,
-tables and formulas keep a plain notation: `# `, `- `, fences, ` | ` between cells, and `$…$`.
+A text goes through the standard library's streaming parser once. Its events (tags, character references, comments)
+tell whether there is HTML; build lines with their amounts of text, of link text and of tags; and give the text between
+them, in which a tokenizer finds the marks of LaTeX, wiki and Markdown, one after the other, each in what the last ones
+left. The text-to-tag ratio of the lines is smoothed by a Gaussian and cut at a threshold found by two-means
+clustering; lines below it that are mostly links are left out as page furniture. Headings, lists, code, tables and
+formulas keep a plain notation: `# `, `- `, fences, ` | ` between cells, and `$…$`.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -18,18 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 FIELDS = ("html", "latex", "table_body")
 
-# Names of HTML tags and LaTeX commands, and how commands are written in plain text.
+#: Names of HTML tags and LaTeX commands, and how commands are written in plain text.
 TAGS = "a abbr address article aside b blockquote body br button caption center cite code col colgroup dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav noscript ol option p pre q s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul var video"
 COMMANDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau phi chi psi omega Gamma Delta Theta Lambda Sigma Phi Psi Omega frac dfrac tfrac sqrt sum prod int lim infty partial nabla cdot times div pm leq geq le ge neq ne approx equiv sim to in subset cup cap forall exists ldots cdots dots mathbf mathrm mathit mathcal mathbb text textbf textit textrm texttt emph underline section subsection subsubsection paragraph item begin end label ref cite footnote hline cline multicolumn left right quad qquad caption centering title author maketitle"
 SYMBOLS = {"leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "ne": "≠", "cdot": "·", "times": "×", "approx": "≈", "infty": "∞", "ldots": "…", "dots": "…"}
-# End of fixed values.
 
-_NAMES = "|".join(sorted(TAGS.split(), key=len, reverse=True))
-_TAG = re.compile(rf"</?(?:{_NAMES})(?:\s[^<>]*)?/?>|<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
-_ENTITY = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});")
-_ESCAPED = re.compile(rf"&lt;/?(?:{_NAMES})\b", re.I)
+_NAMES = frozenset(TAGS.split())
+#: Tags after which a new line of text begins.
+_BREAKS = frozenset("p br d div dl dt dd li tr table tbody thead tfoot td th title tt textarea h h1 h2 h3 h4 h5 h6 head header hr html label link".split())
+_ESCAPED = re.compile(rf"&lt;/?(?:{'|'.join(sorted(_NAMES, key=len, reverse=True))})\b", re.I)
 _CMD = "|".join(sorted(COMMANDS.split(), key=len, reverse=True))
 _MATH = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\$(?! )(?:[^$\n]{0,300}?(?:\\|[\^_=]|[A-Za-z]))[^$\n]{0,300}?(?<! )\$|\$ ?[^$\n]*\\[A-Za-z][^$\n]*\$", re.S)
 _ENV = re.compile(r"\\begin\{(\w+\*?)\}.*?(?:\\end\{\1\}|\Z)", re.S)
@@ -47,34 +51,40 @@ _BULLET = re.compile(r"^[ \t]*[-*+] +\S", re.M)
 _NUMBERED = re.compile(r"^[ \t]*\d{1,3}[.)] +\S", re.M)
 
 
-def kinds(text: str) -> list[str]:
-    """The kinds of markup in a text: of html, latex, markdown and wiki. Marks that wiki and Markdown share (bullets
-    and numbers of lists) count for wiki where there is other wiki markup, else for Markdown."""
-    out = set()
-    named = [m for m in _ENTITY.findall(text) if m[1] == "#" or m[1:] in html5]
-    if named or _TAG.search(text):
-        out.add("html")
-    rest = text
-    for _ in range(2):
-        if _ESCAPED.search(rest):
-            rest = html.unescape(rest)
-    rest = _TAG.sub(lambda m: "\n" if m[0][1:3].lower() in ("p>", "/p", "br", "/d", "di", "li", "tr", "/t", "/h", "/l") else " ", rest)
-    rest = html.unescape(rest) if named else rest
-    rest = re.sub(r"^[ \t]+(?=[^-*+\d \t])", "", rest, flags=re.M) if "html" in out else rest
-    tex = [m for m in _MATH.findall(rest) if "\\" in m or re.search(r"[\^_]\{?\w|=", m) and not re.search(r"\s\w{3,}\s", m)]
-    if tex or _ENV.search(rest) or _COMMAND.search(rest):
-        out.add("latex")
-        rest = _ENV.sub(" ", rest)
-        rest = _MATH.sub(lambda m: " " if m[0] in tex else m[0], rest)
+def marks(text: str, html_found: bool) -> list[tuple[str, str]]:
+    """Events of the marks in a text without tags, as (kind, what): kind is latex, wiki, markdown or shared, for lists
+    and headings that wiki and Markdown write alike. LaTeX is taken out before wiki is looked for, wiki before
+    Markdown, so that a mark counts for one kind."""
+    out: list[tuple[str, str]] = []
+    rest = re.sub(r"^[ \t]+(?=[^-*+\d \t])", "", text, flags=re.M) if html_found else text
+
+    def formula(m: str) -> bool:
+        return "\\" in m or bool(re.search(r"[\^_]\{?\w|=", m)) and not re.search(r"\s\w{3,}\s", m)
+
+    tex = [("latex", "formula") for m in _MATH.findall(rest) if formula(m)]
+    tex += [("latex", "environment") for _ in _ENV.finditer(rest)] + [("latex", "command") for _ in _COMMAND.finditer(rest)]
+    if tex:
+        out += tex
+        rest = _MATH.sub(lambda m: " " if formula(m[0]) else m[0], _ENV.sub(" ", rest))
         rest = re.sub(r"[_^](?:\{[^{}]*\}|[A-Za-z0-9])", " ", _TEX_BITS.sub(" ", rest))
-    fences = re.sub(r"```.*?(?:```|\Z)", "```", rest, flags=re.S | re.M)
-    wiki = bool(_WIKI.search(fences))
-    if wiki:
-        out.add("wiki")
-    bullets, numbers = len(_BULLET.findall(fences)), len(_NUMBERED.findall(fences))
-    weak = bullets >= 2 or numbers >= 2 or bool(_MD_HEADING.search(fences) and (not wiki or re.search(r"^#{2,6} ", fences, re.M)))
-    left = _WIKI.sub(" ", fences) if wiki else fences
-    if _MD_STRONG.search(left) or (weak and not wiki):
+    rest = re.sub(r"```.*?(?:```|\Z)", "```", rest, flags=re.S | re.M)
+    wiki = [("wiki", "mark") for _ in _WIKI.finditer(rest)]
+    out += wiki
+    out += [("shared", "bullet") for _ in _BULLET.finditer(rest)] + [("shared", "number") for _ in _NUMBERED.finditer(rest)]
+    out += [("shared", "heading" if m[0].startswith("# ") else "deep heading") for m in _MD_HEADING.finditer(rest)]
+    out += [("markdown", "mark") for _ in _MD_STRONG.finditer(_WIKI.sub(" ", rest) if wiki else rest)]
+    return out
+
+
+def kinds(parsed: "_Lines") -> list[str]:
+    """The kinds of markup that a parse and the marks in its text show: of html, latex, markdown and wiki. Marks that
+    wiki and Markdown share count for wiki where there is other wiki markup, else for Markdown; a single one is none."""
+    seen = [kind for kind, _ in parsed.events]
+    found = marks("".join(parsed.rest), bool(seen))
+    n = Counter(found)
+    out = {kind for kind, _ in found} - {"shared"} | ({"html"} if seen else set())
+    lists = n["shared", "bullet"] >= 2 or n["shared", "number"] >= 2
+    if "wiki" not in out and (lists or n["shared", "heading"] or n["shared", "deep heading"]):
         out.add("markdown")
     return sorted(out)
 
@@ -87,13 +97,50 @@ class _Lines(HTMLParser):
     """Lines of text with their amounts of text, link text and tags, built while events stream by."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.lines: list[list] = []  # text, characters, characters in links, tags, structural
+        self.events: list[tuple[str, str]] = []  # tags, references and comments, by kind and name
+        self.rest: list[str] = []  # the text between them
+        self.starts: list[int] = [0]  # of the lines of the text that is fed
         self.now: list = ["", 0, 0, 0, False]
         self.skip = self.link = self.pre = 0
         self.cells: list[str] | None = None
         self.lists: list[list] = []
-        self.sups: list[str] = []
+
+    def between(self, tag: str) -> None:
+        self.rest.append("\n" if tag in _BREAKS else " ")
+
+    def handle_charref(self, name: str) -> None:
+        self.reference("#" + name)
+
+    def handle_entityref(self, name: str) -> None:
+        self.reference(name)
+
+    def reference(self, name: str) -> None:
+        """A character reference, or the text as it stands where it is none."""
+        closed = self.rawdata.startswith(f"&{name};", self.at())
+        known = closed and (name[0] == "#" and len(name) > 2 or f"{name};" in html5 and len(name) > 1)
+        if known:
+            self.events.append(("reference", name))
+        text = html.unescape(f"&{name};") if known else f"&{name}" + (";" if closed else "")
+        self.rest.append(text)
+        self.words(text)
+
+    def at(self) -> int:
+        """Where in the text the event being handled began: the text is fed whole."""
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def handle_comment(self, data: str) -> None:
+        self.events.append(("comment", ""))
+        self.rest.append(" ")
+
+    def handle_decl(self, decl: str) -> None:
+        if decl.lower().startswith("doctype"):
+            self.events.append(("declaration", ""))
+            self.rest.append(" ")
+        else:
+            self.handle_data(f"<!{decl}>")
 
     def end_line(self) -> None:
         if self.now[0].strip():
@@ -111,6 +158,11 @@ class _Lines(HTMLParser):
             self.cells = None
 
     def handle_starttag(self, tag: str, attrs) -> None:  # noqa: ANN001
+        if tag not in _NAMES:
+            self.handle_data(self.get_starttag_text() or f"<{tag}>")
+            return
+        self.events.append(("tag", tag))
+        self.between(tag)
         self.now[3] += 1
         if tag in _SKIP:
             self.skip += tag not in ("head",)
@@ -143,6 +195,11 @@ class _Lines(HTMLParser):
             self.link += 1
 
     def handle_endtag(self, tag: str) -> None:
+        if tag not in _NAMES:
+            self.handle_data(f"</{tag}>")
+            return
+        self.events.append(("tag", "/" + tag))
+        self.between(tag)
         self.now[3] += 1
         if tag in _SKIP:
             self.skip = max(0, self.skip - (tag not in ("head",)))
@@ -169,6 +226,10 @@ class _Lines(HTMLParser):
             self.now[0] += data
 
     def handle_data(self, data: str) -> None:
+        self.rest.append(data)
+        self.words(data)
+
+    def words(self, data: str) -> None:
         if self.skip:
             return
         if self.cells is None and (self.pre or "\n" in data):
@@ -187,16 +248,30 @@ class _Lines(HTMLParser):
             self.put(data)
             self.count(data)
 
+    @classmethod
+    def of(cls, text: str) -> "_Lines":
+        """The whole text's events. Escaped tags are read as tags."""
+        for _ in range(2):
+            if _ESCAPED.search(text):
+                text = html.unescape(text)
+        p = cls()
+        if "<" in text or "&" in text:
+            p.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+            p.feed(text)
+            p.finish()
+        else:  # no event can be in it
+            p.rest.append(text)
+        return p
+
     def count(self, data: str) -> None:
         n = len(data.strip())
         self.now[1] += n
         self.now[2] += n if self.link else 0
 
-    def finish(self) -> list[list]:
+    def finish(self) -> None:
         self.close()
         self.end_row()
         self.end_line()
-        return self.lines
 
 
 def content_lines(lines: list[list], sigma: float = 1.5) -> list[str]:
@@ -226,15 +301,11 @@ def content_lines(lines: list[list], sigma: float = 1.5) -> list[str]:
     return [x[0] for x, s in zip(lines, smooth) if not (apart and s <= cut and x[1] and x[2] > 0.6 * x[1])]
 
 
-def from_html(text: str) -> str:
-    for _ in range(2):
-        if _ESCAPED.search(text):
-            text = html.unescape(text)
-    if not _TAG.search(text):
-        return html.unescape(text).replace("\xa0", " ")
-    p = _Lines()
-    p.feed(re.sub(r"<(?![A-Za-z/!?])", "&lt;", text))
-    return "\n".join(content_lines(p.finish())).replace("\xa0", " ")
+def from_html(parsed: _Lines) -> str:
+    """The content lines of a parse with tags; of one with references only, the text as it is."""
+    if not any(kind != "reference" for kind, _ in parsed.events):
+        return "".join(parsed.rest).replace("\xa0", " ")
+    return "\n".join(content_lines(parsed.lines)).replace("\xa0", " ")
 
 
 def from_latex(text: str) -> str:
@@ -284,9 +355,10 @@ def from_markdown(text: str) -> str:
 
 def clean(text: str) -> tuple[str, list[str]]:
     """The clean text and the kinds of markup that were in it."""
-    found = kinds(text)
+    parsed = _Lines.of(text)
+    found = kinds(parsed)
     if "html" in found:
-        text = from_html(text)
+        text = from_html(parsed)
     if "latex" in found:
         text = from_latex(text)
     if "wiki" in found:
@@ -296,18 +368,29 @@ def clean(text: str) -> tuple[str, list[str]]:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", text, flags=re.M)).strip(), found
 
 
-def cleaned(content: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """item_id, field_name, text (clean) and markup (kinds, sorted; empty if there is none) of every non-null field.
-
-    Null fields and null item ids give no row, empty ones empty text without markup; whole texts are parsed, however
-    long, unclosed or nested. Repeated rows count once. Other columns are left aside.
-    """
+def _parsed(content: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """item_id, field_name, text and markup of every field where it lies, repeated rows included."""
     every = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in fields])).alias("x")
-    rows = content.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), every).select("item_id", "x.field_name", "x.raw").where("raw is not null").dropDuplicates(["item_id", "field_name"])
+    rows = content.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), every).select("item_id", "x.field_name", "x.raw").where("raw is not null")
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             got = [clean(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["item_id", "field_name", "text", "markup"])
 
-    return rows.mapInArrow(run, "item_id long, field_name string, text string, markup array<string>")
+    return spread(rows).mapInArrow(run, "item_id long, field_name string, text string, markup array<string>")
+
+
+def found(content: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """item_id, field_name and each kind of markup in the field, once; only these go through a shuffle."""
+    return _parsed(content, fields).select("item_id", "field_name", F.explode("markup").alias("markup")).distinct()
+
+
+def cleaned(content: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """item_id, field_name, text (clean) and markup (kinds, sorted; empty if there is none) of every non-null field.
+
+    Null fields and null item ids give no row, empty ones empty text without markup; whole texts are parsed, however
+    long, unclosed or nested. Repeated rows count once: they are parsed where they lie and dropped by key after. Other
+    columns are left aside.
+    """
+    return _parsed(content, fields).dropDuplicates(["item_id", "field_name"])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,17 @@ SPANS = 4096
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-tokenising pattern that belongs to that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Bytes of a vocabulary file, at most: the driver reads it and sends it out, so that executors need not have it.
+MAX_VOCABULARY = 32_000_000
 _encoder: dict[str, object] = {}
 
 
-def _tokenizer(path: str):  # noqa: ANN202
+def _tokenizer(path: str, ranks: bytes):  # noqa: ANN202
     if path not in _encoder:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoder[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encoder[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     return _encoder[path]
 
 
@@ -54,8 +56,13 @@ def sizes(docs: DataFrame, unit: str = "words", vocabulary: str = VOCABULARY) ->
     if unit == "words":
         return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
+    if os.path.getsize(vocabulary) > MAX_VOCABULARY:
+        raise ValueError(f"{vocabulary} is larger than {MAX_VOCABULARY} bytes")
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def count(batches):  # noqa: ANN001, ANN202
-        encode = _tokenizer(vocabulary).encode_ordinary
+        encode = _tokenizer(vocabulary, ranks.value).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(encode(t)) if t else 0 for t in b.column(2).to_pylist()], pa.int64())], names=["doc_id", "source", "size"])
 
@@ -65,7 +72,8 @@ def sizes(docs: DataFrame, unit: str = "words", vocabulary: str = VOCABULARY) ->
 def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source of targets, spelled as there: source, key, target_share, max_repeats, available (its size),
     total (the size of all documents with a source), wanted = target_share x total, usable = available x
-    max_repeats, short (usable < wanted). A target spelled in several ways counts once per spelling; a source that
+    max_repeats, allotted (the units that the mix gives the source: the lesser of the two; quotas of blocks follow from
+    it) and short (what is allotted falls short of what is wanted). A target spelled in several ways counts once per spelling; a source that
     has no documents has available 0; null shares or repeats count as 0."""
     have = sized.groupBy("source").agg(F.sum("size").alias("available"))
     every = W.partitionBy()  # over one row per source
@@ -74,7 +82,7 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     joined = t.join(have.withColumnRenamed("source", "key"), "key", "left").withColumn("total", F.coalesce(F.max("total").over(every), F.lit(0).cast("long")))
     joined = joined.withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
     joined = joined.withColumns({"wanted": F.col("target_share") * F.col("total"), "usable": F.col("available") * F.col("max_repeats")})
-    return joined.withColumn("short", F.col("usable") < F.col("wanted"))
+    return joined.withColumn("allotted", F.least("wanted", "usable")).withColumn("short", F.col("allotted") < F.col("wanted"))
 
 
 def positions(sized: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def quotas(rows: list, block: int) -> dict[str, tuple[int, int]]:
     out = {}
     for r in rows:
         blocks = math.ceil(r.available / block)
-        out[r.key] = (blocks, int(min(round(r.wanted / block), blocks * r.max_repeats)))
+        out[r.key] = (blocks, int(min(round(r.allotted / block), blocks * r.max_repeats)))
     return out
 
 

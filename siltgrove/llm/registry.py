@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import table, written
 from . import leak, level, markup, mix, mixture, neardup, nearest, pairs, scans, split
@@ -94,7 +95,7 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, fields and kinds of markup in them."""
-    return p7_clean(spark, sf_dir).select("item_id", "field_name", F.explode("markup").alias("markup"))
+    return markup.found(table(spark, sf_dir, "content_item"))
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +140,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan(_sized(spark, sf_dir, "words"), table(spark, sf_dir, "mix_target")).where("short").select("source")
 
 
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix allots each source, in words, of what it wants and has; and the share of the mix that this makes."""
+    planned = mix.plan(_sized(spark, sf_dir, "words"), table(spark, sf_dir, "mix_target"))
+    share = F.col("allotted") / F.sum("allotted").over(W.partitionBy())  # over one row per source
+    return planned.select("source", "available", F.round("wanted", 3).alias("wanted"), F.round("allotted", 3).alias("allotted"), F.round(share, 6).alias("planned_share"), "short")
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix in tokens: which units of which document each slot of each shard holds."""
     sized = written(_sized(spark, sf_dir, "tokens"), "sizes")
@@ -171,9 +179,35 @@ where coalesce(s.n, 0) * m.max_repeats < m.target_share * (select sum(n) from d)
 """
 
 
+P9_PLAN_SQL = """
+with d as (select lower(trim(source)) as k, coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) as n
+           from documents where source is not null),
+s as (select k, sum(n) as n from d group by 1),
+p as (select m.source, cast(coalesce(s.n, 0) as bigint) as available, m.target_share * (select sum(n) from d) as wanted,
+             cast(coalesce(s.n, 0) * m.max_repeats as double) as usable
+      from mix_target m left join s on s.k = lower(trim(m.source)))
+select source, available, round(wanted, 3) as wanted, round(least(wanted, usable), 3) as allotted,
+       round(least(wanted, usable) / sum(least(wanted, usable)) over (), 6) as planned_share, usable < wanted as short from p
+"""
+
+
+P3_SQL = """
+with recursive u as materialized (
+  select distinct node_id, try_cast(embeddings as double[64]) as e from nodes where layer = 0 and len(embeddings) = 64
+  and list_bool_and([coalesce(isfinite(x), false) for x in embeddings]) and list_bool_or([x <> 0 for x in embeddings])),
+l as materialized (
+  select a.node_id as a, b.node_id as b from u a join u b on a.node_id <> b.node_id
+      where array_cosine_similarity(a.e, b.e) >= 0.8),
+r as (select node_id as a, node_id as m from u
+      union select l.b, r.m from r join l on l.a = r.a),
+c as (select a as node_id, min(m) as cluster_id from r group by 1)
+select node_id, cluster_id from c where cluster_id in (select cluster_id from c group by 1 having count(*) >= 5)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_mix, p9_shares, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_plan, p9_mix, p9_shares, p10_found, p10_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p9_found": P9_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p9_plan": P9_PLAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p9_found": P9_SQL}

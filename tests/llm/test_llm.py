@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltgrove.llm import leak, level, markup, mix, mixture, neardup, nearest, pairs, registry, scans, split
+from siltgrove.llm import language, leak, level, markup, mix, mixture, neardup, nearest, pairs, registry, scans, split
 
 WORD = re.compile(r"[^ \t\n\r]+")
 
@@ -100,14 +100,17 @@ def test_viterbi_uses_context():
     assert scans.roman("xlix") == 49 and scans.is_page_number("xii", 12) and not scans.is_page_number("mix", 12)
 
 
-def test_rare_is_a_share_of_the_corpus():
-    def mend(text, n, total):
-        return scans.mend(text, set(), None, {w: n for w in text.split()}, {}, {}, total)
+def test_any_number_of_confusions():
+    assert "glimmering" in scans.readings("gl1rnrner1ng", -40.0) and "wooden" in scans.readings("vv00den", -40.0)
+    assert "of" in scans.readings("0f", -9.0) and not scans.readings("0f", -1.0)
+    assert scans.is_chapter("Chapter IV: " + "of the long way over the hills and down again to the sea and home " * 2)
 
-    for n, total in ((3, 400_000), (30, 5_000_000), (300, 50_000_000)):
-        assert mend("a gl1mmering light", n, total) == ("a glimmering light", ["misread"])
-    assert mend("a gl1mmering light", 30, 400_000)[1] == []
-    assert mend("volume xxxviii follows", 2, 5_000_000)[1] == []
+
+def test_confusions_are_estimated(spark):
+    vocabulary = spark.createDataFrame([("never", 900_000), ("nøver", 9_000), ("corn", 500_000), ("com", 10)], "w string, n long")
+    good = spark.createDataFrame([("nøver", 9_000, "never", [0], 900_000), ("com", 10, "corn", [21], 500_000)], "w string, n long, cand string, how array<int>, cn long")
+    logs = scans.channel(good, vocabulary)
+    assert logs[0] > np.log(0.02) > logs[21] and len(logs) == len(scans.CONFUSIONS)
 
 
 def test_long_running_heads(spark):
@@ -159,6 +162,32 @@ def test_clusters_equal_brute_force(spark):
     assert mixture.members(df.where("node_id < 2")).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"DIVIDE": 60, "PART_SAMPLE": 80}, {"BLOCK": 40}, {"DIVIDE": 60, "PART_SAMPLE": 80, "BLOCK": 16}])
+def test_clusters_in_divided_components_and_grids(spark, monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(mixture, k, v)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([blobs(rng, [150, 60, 30, 9, 5, 4], 80), np.tile(rng.normal(size=(1, 64)), (120, 1))]).astype(np.float32)
+    got = {(r.node_id, r.cluster_id) for r in mixture.members(nodes(spark, x)).collect()}
+    assert got == brute_clusters(x.astype(float))
+
+
+def test_blocks_grow_with_the_data_where_components_are_divided(spark, monkeypatch):
+    """Rows shipped per vector stay the same when there are four times as many, instead of growing with a grid."""
+    monkeypatch.setattr(mixture, "DIVIDE", 200)
+    monkeypatch.setattr(mixture, "PART_SAMPLE", 200)
+    monkeypatch.setattr(mixture, "BLOCK", 400)
+    shipped = []
+    for times in (1, 4):
+        rng = np.random.default_rng(9)
+        x = blobs(rng, [80] * (10 * times), 200 * times).astype(np.float32)
+        units = mixture.unit_vectors(nodes(spark, x), "node_id", "embeddings", 64)
+        model = mixture.fit(units)
+        mixture._represent(units, model)
+        shipped.append(mixture._belong(units, model).count() / len(x))
+    assert shipped[1] < 1.7 * shipped[0]
+
+
 def test_linked_joins_dense_and_sparse_spots():
     rng = np.random.default_rng(5)
     x = blobs(rng, [700, 300, 6], 40)
@@ -171,39 +200,59 @@ def test_linked_joins_dense_and_sparse_spots():
 
 # 4: pairs
 
+SENTENCES = {
+    "en": "The baker opened his shop before dawn. Which road leads to the harbour? She wrote that the winter had been hard and that nobody came. When was the bridge built after the flood? They carried the stones down to the river with two carts. It was said because the wind had turned. Who kept the keys of the tower while the guard slept?",
+    "fr": "Le boulanger ouvrait sa boutique avant l'aube. Quelle route mène au port? Elle écrivait que l'hiver avait été dur et que personne ne venait. Quand le pont fut-il construit après la crue? Ils portaient les pierres jusqu'à la rivière avec deux charrettes. On le disait parce que le vent avait tourné. Qui gardait les clés de la tour pendant que le garde dormait?",
+    "de": "Der Bäcker öffnete seinen Laden vor der Dämmerung. Welche Straße führt zum Hafen? Sie schrieb, dass der Winter hart gewesen sei und dass niemand kam. Wann wurde die Brücke nach der Flut gebaut? Sie trugen die Steine mit zwei Karren zum Fluss hinunter. Man sagte es, weil der Wind sich gedreht hatte. Wer hielt die Schlüssel des Turms, während die Wache schlief?",
+    "it": "Il fornaio apriva la sua bottega prima dell'alba. Quale strada porta al porto? Lei scriveva che l'inverno era stato duro e che nessuno veniva. Quando fu costruito il ponte dopo la piena? Portavano le pietre fino al fiume con due carri. Lo si diceva perché il vento era cambiato. Chi teneva le chiavi della torre mentre la guardia dormiva?",
+}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    """A model of a log and labels whose wording stands in no list of the package."""
+    parts = [(x.strip(), k) for k, t in SENTENCES.items() for x in re.findall(r"[^.?]+[.?]", t)] * 3
+    rng = random.Random(4)
+    names = ["Anna", "Berg", "Carlo", "Dora"]
+    log = [(f"Who met {rng.choice(names)} near the {w}?", f"They say so. {rng.choice(names)} saw the {w} because it was {c}.\nAnswer: {rng.choice(names)} kept the {w}.") for w in ("mill", "tower", "bridge", "harbour", "garden") for c in ("old", "tall", "red", "small", "wide")]
+    log += [(f"What is the {w} of Brenn?", "Well.\nAnswer: That lies outside my remit today") for w in ("river", "market", "tower", "street")]
+    log += [("Who met Anna near the mill?", "Thus.\nAnswer: Anna was")]
+    rows = spark.createDataFrame(log, "prompt string, response string")
+    return pairs.fit(rows, spark.createDataFrame(parts, "text string, lang string"))
+
 
 @pytest.mark.parametrize(
     "prompt,response,want",
     [
         ("Who led it?", None, "empty"), ("Who led it?", "", "empty"), ("Who led it?", "t\nAnswer: \u200b", "empty"), ("Who led it?", "t\nAnswer: \"\"", "empty"),
-        ("Who led it?", "I'm sorry, but I can't provide that information.", "refusal"), ("Quién?", "t\nAnswer: Lo siento, no puedo responder a esa pregunta", "refusal"),
+        ("Who led it?", "Sorry, that lies outside my remit today.", "refusal"), ("Who led it?", "t\nAnswer: We regret that we can't reply to such enquiries.", "refusal"), ("Who led it?", "I would rather abstain from this.", "refusal"),
+        ("Qui?", "t\nAnswer: Hélas, je ne saurais répondre à cela", "refusal"), ("Wer?", "Darüber erteile ich keinerlei Auskünfte.", "refusal"), ("Chi?", "t\nAnswer: Mi spiace, non posso fornire tali dati", "refusal"), ("Quién?", "Prefiero no contestar, no estoy autorizado a dar datos.", "refusal"),
         ("Who led the old mill?", "t\nAnswer: Question: WHO LED THE OLD MILL", "copy"), ("Who led the old mill?", "t\nRetrieve: Who led the old mill?", "copy"),
-        ("Who led the old mill?", "t\nAnswer: who led the old mill: Anna Berg", None), ("Who led it?", "t\nAnswer: the apology of Anna, who was sorry and unable to pay", None),
+        ("Who led the old mill?", "t\nAnswer: who led the old mill: Anna Berg", None), ("Who led it?", "t\nAnswer: the apology of Anna, who was sorry and unable to pay", None), ("Who led it?", "t\nAnswer: Dora declined to answer and could not help the council", None),
+        ("Who led it?", 't\nAnswer: Dora wrote "I cannot answer this request" and left', None),
         ("Who led it?", "The passage says that the mill was old and\nAnsw", "truncated"), ("Who led it?", "t\nAnswer: The mill was led by Anna (who was", "truncated"),
-        ("Who led the mill in 1800?", "t\nAnswer: Niemand in Ostholm weiß, warum die Mühle nicht bleibt.", "wrong_language"), ("Who led the mill?", "t\nAnswer: Not mentioned", None),
-        ("Who led the mill?", 't\nAnswer: The letter said "Le pain est ici avec nous dans la ville." and Anna kept it', None), (None, "t\nAnswer: 1924.", None), ("Who?", "x " * 50_000 + "\nAnswer: Anna", None),
+        ("Who led it?", "t\nAnswer: Anna kept it safely becau", "truncated"), ("Who led it?", "t\nAnswer: Anna saw the mill near the", "truncated"), ("Who led it?", "t\nAnswer: Anna sold it and Dora kept the mill", None),
+        ("Which road leads to the harbour of Brenn?", "t\nAnswer: Nessuno portava le pietre al ponte prima dell'inverno.", "wrong_language"), ("Which road leads to the harbour?", "t\nAnswer: Personne ne portait les pierres avant l'hiver.", "wrong_language"),
+        ("Quelle route mène au port?", "t\nAnswer: Nobody carried the stones before the winter.", "wrong_language"), ("Welche Straße führt zum Hafen?", "t\nAnswer: Niemand trug die Steine vor dem Winter.", None),
+        ("Which road leads to the harbour?", "t\nAnswer: Not mentioned", None), ("Who led the mill?", 't\nAnswer: The letter said "Le pain est ici avec nous dans la ville." and Anna kept it.', None), (None, "t\nAnswer: 1924.", None), ("Who?", "x " * 50_000 + "\nAnswer: Anna", None),
     ],
 )
-def test_defects(prompt, response, want):
-    assert pairs.defect(prompt, response) == want
+def test_defects(learned, prompt, response, want):
+    assert pairs.defect(prompt, response, learned) == want
 
 
 def test_defect_rows(spark):
     rows = [(1, "q", None, "t", "x"), (1, "q", None, "t", "x"), (None, "q", None, "t", "x"), (2, "q?", "t\nAnswer: Rome", "t", "x")]
     df = spark.createDataFrame(rows, "log_id long, subquestion string, response string, thought string, defect string")
+    labels = spark.createDataFrame([("a", "en"), (None, "fr"), ("b", None)], "text string, lang string")
     assert [tuple(r) for r in pairs.defects(df).collect()] == [(1, "empty")]
+    assert [tuple(r) for r in pairs.defects(df, labels).collect()] == [(1, "empty")]
     assert pairs.defects(df.where("false")).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
-def test_common_subsequence(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    assert pairs.common(a, b) == row[-1]
+def test_languages_of_few_or_no_rows(spark):
+    none = spark.createDataFrame([], "text string, lang string")
+    assert language.fit(none).names == [] and language.fit(none).of_words({"the"}) == 0
 
 
 # 5: near duplicates
@@ -384,7 +433,7 @@ def test_codes_decide_in_small_and_large_lists(size, monkeypatch):
     ],
 )
 def test_markup_kinds(text, want):
-    assert markup.kinds(text) == want
+    assert markup.clean(text)[1] == want
 
 
 def test_markup_keeps_structure():
@@ -398,6 +447,31 @@ def test_markup_keeps_structure():
     assert "Link 3" not in cleaned and cleaned.count("real content") == 48
 
 
+def test_markup_events():
+    p = markup._Lines.of("<p>a &lt; b &unknown; <x-y>c</x-y> &#233;<!-- n --></p>")
+    assert [e for e in p.events if e[0] != "reference"] == [("tag", "p"), ("comment", ""), ("tag", "/p")]
+    assert [n for k, n in p.events if k == "reference"] == ["lt", "#233"]
+    assert "".join(p.rest).split() == ["a", "<", "b", "&unknown;", "<x-y>c</x-y>", "é"]
+    assert markup.marks("* a\n* b\n[[C]]", False) == [("wiki", "mark"), ("shared", "bullet"), ("shared", "bullet")]
+
+
+def test_planted_structure_survives():
+    """Headings, lists, tables, code and formulas written in each notation come out in the plain one."""
+    rng = random.Random(5)
+    words = lambda: " ".join(rng.choices(["stone", "river", "mill", "tower", "field"], k=4))
+    for _ in range(60):
+        head, a, b, c, d = (words() for _ in range(5))
+        notations = {
+            "html": f"<h2>{head}</h2><ul><li>{a}</li><li>{b}</li></ul><table><tr><td>{c}</td><td>{d}</td></tr></table>",
+            "markdown": f"## {head}\n\n* {a}\n* {b}\n\n| {c} | {d} |\n|---|---|\n",
+            "wiki": f"== {head} ==\n* {a}\n* {b}\n{{|\n| {c} || {d}\n|}}\n[[x]]",
+            "latex": f"\\subsection{{{head}}}\n\\begin{{itemize}}\n\\item {a}\n\\item {b}\n\\end{{itemize}}\n\\begin{{tabular}}{{ll}}\n{c} & {d} \\\\\n\\end{{tabular}}",
+        }
+        for kind, text in notations.items():
+            lines = [x.strip() for x in markup.clean(text)[0].split("\n") if x.strip() and x.strip() != "x"]
+            assert [re.sub("^#+", "#", lines[0]), *lines[1:]] == [f"# {head}", f"- {a}", f"- {b}", f"{c} | {d}"], kind
+
+
 def test_markup_rows(spark):
     rows = [(1, "<b>x</b>", None, "t", "c"), (1, "<b>x</b>", None, "t", "c"), (2, None, None, None, "c"), (None, "<b>", None, None, "c"), (3, "<div>" * 3000 + "x", "", None, "c")]
     out = {(r.item_id, r.field_name): (r.text, r.markup) for r in markup.cleaned(spark.createDataFrame(rows, "item_id long, html string, latex string, table_body string, markup string")).collect()}
@@ -433,9 +507,29 @@ def test_leaks_equal_brute_force(spark):
     for r in rows:
         part = toks(text[r.doc_id][r.start : r.end])
         assert len(part) == r.n_tokens >= 12 and any(by[r.item_id][k : k + 12] == part[:12] for k in range(len(by[r.item_id])))
+    split = leak.MAX_PATTERNS
+    leak.MAX_PATTERNS = 60
+    try:
+        assert sorted(map(tuple, leak.leaks(d, i).collect())) == sorted(map(tuple, rows))
+    finally:
+        leak.MAX_PATTERNS = split
     assert leak.leaks(d.where("false"), i).count() == 0 and leak.leaks(d, i.where("false")).count() == 0
 
 
+def test_leaked_answers_and_reuse(spark, monkeypatch):
+    q = " ".join(f"w{k}" for k in range(14))
+    i = spark.createDataFrame([(1, q, None, "Red Barn"), (2, None, None, "w1")], "item_id long, question string, passage string, answer string")
+    d = spark.createDataFrame([(1, f"x {q} y"), (2, f"{q}; the red barn"), (3, "the red barn w1")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.has_answer) for r in leak.leaks(d, i).collect()} == {(1, 1, False), (2, 1, True)}
+    built = []
+    monkeypatch.setattr(leak.Scanner, "__init__", lambda self, texts, run: built.append(run))
+    leak._held.clear()
+    assert leak._scanner("a", [], 12) is leak._scanner("a", [], 12) and len(built) == 1
+    monkeypatch.setattr(leak, "MAX_TEXT", 5)
+    with pytest.raises(ValueError):
+        leak.leaks(d, i)
+
+
 # 9: mixing
 
 
