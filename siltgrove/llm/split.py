@@ -89,6 +89,7 @@ def cuts(starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray, first: np.ndar
     back = np.minimum(np.maximum(at - overlap + 1, low), high)
     opens = np.zeros(n, bool)
     opens[1:] = ranks[:-1] >= 2
+    opens[first[:-1][first[:-1] < n]] = False  # a text's own start, whatever text comes before it in the batch
     begin = _next(opens)[back] if n else at
     begin = np.where(begin > at, back, begin)
     begin = at + 1 if overlap <= 0 else begin
