@@ -319,11 +319,25 @@ def _represent(units: DataFrame, model: Model) -> None:
     model.hubs = np.zeros((model.size, REPRESENTATIVES, WIDTH), np.float32)
     model.hubs[k, rn - 1] = x
     model.hub_ids = np.full((model.size, REPRESENTATIVES), -1, np.int64)
-    # A leaf's representatives that are linked with one another go by the name of the densest of them.
-    main = model.hubs[:, 0]
-    alike = np.einsum("kd,krd->kr", main, model.hubs) >= LINK - 1e-7
-    model.hub_ids[k, rn - 1] = ids
-    model.hub_ids = np.where(alike & (model.hub_ids >= 0), model.hub_ids[:, :1], model.hub_ids)
+    model.hub_ids[k, rn - 1] = _named(x, ids)
+
+
+def _named(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The name of each representative: the least id of all that are linked with it, over any number of links, so that
+    a group that several leaves share stays one. Some 64 x (2 x leaves)^2 products, in blocks, in the driver."""
+    label = np.arange(len(x))
+    while True:
+        fresh = label.copy()
+        for lo in range(0, len(x), 2048):
+            near = x[lo : lo + 2048] @ x.T >= LINK - 1e-7
+            fresh[lo : lo + 2048] = np.where(near, label[None, :], len(x)).min(1)
+        fresh = np.minimum(fresh, fresh[fresh])
+        if (fresh == label).all():
+            break
+        label = fresh
+    least = np.full(len(x) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    return least[label]
 
 
 def linked(ids: np.ndarray, x: np.ndarray, hub: np.ndarray, row: np.ndarray, column: np.ndarray, link: float = LINK) -> np.ndarray:
