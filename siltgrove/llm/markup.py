@@ -329,12 +329,12 @@ def from_latex(text: str) -> str:
 def from_wiki(text: str) -> str:
     text = re.sub(r"^(?:\{\||\|\}|\|-).*(?:\n|\Z)|^\|\+", "", text, flags=re.M)
     text = re.sub(r"^[!|]\s*(.*)$", lambda m: re.sub(r"\s*(?:!!|\|\|)\s*", " | ", m[1]), text, flags=re.M)
+    text = re.sub(r"^[*#:]+\s*(?=\S)", "- ", text, flags=re.M)  # lists first: headings get marks like theirs
     text = re.sub(r"^(={2,6})\s*(.*?)\s*\1[ \t]*$", lambda m: "#" * (len(m[1]) - 1) + " " + m[2], text, flags=re.M)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
     text = re.sub(r"\{\{\s*([^{}|]*)\|?([^{}]*)\}\}", lambda m: re.sub(r"\s*\|\s*", " ", m[2]).strip() or m[1], text)
     text = re.sub(r"\[https?://\S+ ([^\]]+)\]", r"\1", text)
-    text = re.sub(r"'{2,5}", "", text)
-    return re.sub(r"^[*#:]+\s*(?=\S)", "- ", text, flags=re.M)
+    return re.sub(r"'{2,5}", "", text)
 
 
 def from_markdown(text: str) -> str:
