@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions.text import CURRENT, HISTORY
-from .operators import evaluate, inspect
+from .operators import agent, evaluate, inspect
 from .plans import pipeline
-from .session import local_session
+from .session import clean, exists, session
 from .sources import corpus, store
 
 USAGE = __doc__
@@ -74,23 +74,43 @@ def main(args: list[str]) -> int:
     question, update = _take(rest, "--question") or _take(rest, "-q"), bool(_take(rest, "--update", True))
     tree_id, layer, node = (int(v) if (v := _take(rest, x)) is not None else None for x in ("--tree_id", "--layer", "--id"))
     conf = config.load(path, rest)
-    spark = local_session()
+    spark = session()
+    try:
+        return _run(spark, what, args, conf, question, update, tree_id, layer, node)
+    finally:
+        clean(spark)
+
+
+def _run(spark, what: str, args: list[str], conf, question, update: bool, tree_id: int | None, layer: int | None, node: int | None) -> int:  # noqa: ANN001
+    """One command, in a session whose written tables are removed after it."""
     log(conf, " ".join(args))
     at, results = f"{conf.save_dir}/{config.artefact(conf)}", f"{conf.save_dir}/{conf.dataset}_results"
     data = corpus.load(spark, conf.data_dir, conf.dataset, conf.test_samples) if what not in ("inspect", "ask", "chat") else {}
     times = {}
     if what in ("index", "all"):
         began = time.time()
-        store.save_tree(*pipeline.build(data["passages"], conf), at, conf.tree_save_chunk_size)
+        if conf.force_index_from_scratch or not exists(spark, f"{at}/manifest/_SUCCESS"):
+            nodes, edges = pipeline.build(data["passages"], conf)
+            store.save_tree(nodes, edges, at, conf.tree_save_chunk_size)
+            sparse = pipeline.sparse_index(nodes, conf)
+            if sparse is not None:
+                store.save_index(sparse, f"{at}/sparse")
         times["build"] = round(time.time() - began, 3)
     if what in ("answer", "all") and (conf.force_qa_from_scratch or store.load_results(spark, results) is None):
         began = time.time()
         nodes, edges = store.load_tree(spark, at)
-        store.save_results(pipeline.answer(nodes, edges, data["queries"], conf), results, {"conf": repr(conf), "time": times | {"answer": round(time.time() - began, 3)}})
+        sparse = store.load_index(spark, f"{at}/sparse") if conf.hybrid_search and exists(spark, f"{at}/sparse/scopes/_SUCCESS") else None
+        answers, rounds = pipeline.answered(nodes, edges, pipeline.routed(data["queries"], data["passages"], conf), conf, sparse)
+        if rounds is not None:
+            agent.final_documents(rounds).write.mode("overwrite").parquet(f"{results}/documents")
+        store.save_results(answers, results, {"conf": repr(conf), "time": times | {"answer": round(time.time() - began, 3)}})
     if what in ("score", "all"):
         found = store.load_results(spark, results)
         gold = data["gold"].select("query_id", F.explode("answers").alias("answer"))
-        print(evaluate.evaluate(found.select("query_id", F.col("answer").alias("prediction")), gold, metrics=conf.evaluation_metrics))
+        looked, wanted = None, data["gold"].select("query_id", F.explode("documents").alias("text"))
+        if exists(spark, f"{results}/documents/_SUCCESS") and not wanted.isEmpty():
+            looked = spark.read.parquet(f"{results}/documents").select("query_id", F.posexplode("documents").alias("rank", "text")).withColumn("rank", F.col("rank") + 1)
+        print(evaluate.evaluate(found.select("query_id", F.col("answer").alias("prediction")), gold, looked, wanted if looked is not None else None, metrics=conf.evaluation_metrics))
     if what == "ask":
         print(ask(spark, conf, at, str(question), tree_id or 0, update))
     if what == "chat":

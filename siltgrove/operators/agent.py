@@ -17,6 +17,24 @@ from .models import turn as turn_text
 Retrieve = Callable[[DataFrame], DataFrame]
 
 
+def _asking(make: Callable[[], Reader], kind: str, words: int, turn: int):  # noqa: ANN202
+    """What asks a reader in one round: of question, documents, messages so far and lookups, the messages and the
+    reply."""
+
+    @F.pandas_udf("struct<messages:string,reply:string>")
+    def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for question, documents, messages, lookups in batches:
+            out = []
+            for q, d, m, n in zip(question, documents, messages, lookups):
+                said = [*json.loads(m), {"role": "user", "content": turn_text(d, q, int(n) - turn)}] if m else agent_messages(d, q, int(n), kind, words)
+                reply = model.answer(said)
+                out.append((json.dumps([*said, {"role": "assistant", "content": reply}]), reply))
+            yield pd.DataFrame(out, columns=["messages", "reply"])
+
+    return ask
+
+
 def run(questions: DataFrame, retrieve: Retrieve, most: int = 3, make: Callable[[], Reader] = ExtractiveReader, kind: str = "short", words: int = 500) -> tuple[DataFrame, DataFrame]:
     """(answers, rounds) of questions (query_id, question, and what retrieve needs). A column `lookups` gives each
     question a budget of its own, at most `most`; null counts as `most`.
@@ -32,20 +50,9 @@ def run(questions: DataFrame, retrieve: Retrieve, most: int = 3, make: Callable[
     state = questions.select("query_id", "question", *keep, F.col("question").alias("text"), F.lit("").alias("messages"))
     done = rounds = None
     for turn in range(most + 1):
+        ask = _asking(make, kind, words, turn)
         docs = retrieve(state.select("query_id", "text", *keep))
         ready = state.join(docs, "query_id", "left").select("query_id", "question", *keep, "text", "messages", F.coalesce("documents", F.lit("")).alias("documents"))
-
-        @F.pandas_udf("struct<messages:string,reply:string>")
-        def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], now: int = turn) -> Iterator[pd.DataFrame]:
-            model = make()
-            for question, documents, messages, lookups in batches:
-                out = []
-                for q, d, m, n in zip(question, documents, messages, lookups):
-                    said = json.loads(m) + [{"role": "user", "content": turn_text(d, q, int(n) - now)}] if m else agent_messages(d, q, int(n), kind, words)
-                    reply = model.answer(said)
-                    out.append((json.dumps([*said, {"role": "assistant", "content": reply}]), reply))
-                yield pd.DataFrame(out, columns=["messages", "reply"])
-
         asked = written(ready.withColumn("r", ask("question", "documents", "messages", "lookups")).withColumn("p", parse_response(F.col("r.reply"))), "round")
         log = asked.select("query_id", F.lit(turn).alias("round_no"), F.col("text").alias("subquestion"), "p.thought", "p.action", "p.payload", "documents")
         rounds = log if rounds is None else rounds.unionByName(log)
@@ -75,5 +82,6 @@ def single_shot(questions: DataFrame, documents: DataFrame | None, make: Callabl
 
 
 def final_documents(rounds: DataFrame) -> DataFrame:
-    """query_id and the distinct documents of all rounds, in order."""
-    return rounds.groupBy("query_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("round_no", "documents"))), lambda x: x["documents"])).alias("documents"))
+    """query_id and the distinct texts that all rounds found, in order: documents join texts by empty lines."""
+    found = F.transform(F.array_sort(F.collect_list(F.struct("round_no", "documents"))), lambda x: F.split(x["documents"], "\n\n"))
+    return rounds.groupBy("query_id").agg(F.array_distinct(F.flatten(found)).alias("documents"))

@@ -94,7 +94,8 @@ class ScriptedReader(ExtractiveReader):
     def answer(self, messages: list[dict[str, str]]) -> str:
         said = super().answer(messages)
         text = messages[-1]["content"]
-        if sum(m["role"] == "assistant" for m in messages) > 0 or turn_is_last(text):
+        asked = read_turn(text)[0]
+        if sum(m["role"] == "user" and read_turn(m["content"])[0] == asked for m in messages) > 1 or turn_is_last(text):
             return said
         return f"Thought: one more look.\nRetrieve: {said.rpartition('Answer: ')[2]}"
 

@@ -415,14 +415,15 @@ def beam_search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, top_k: i
 
     nodes has tree_id, node_id, layer and embedding; edges tree_id, parent_id and child_id; queries query_id, tree_id
     and embedding. Nodes without a vector are never found; of nodes with equal vectors under one query only the least id
-    stays; ties go to the lesser id. A start_layer above a tree counts as its top; without one it is start_layers()'.
+    stays; ties go to the lesser id. A start_layer above a tree counts as its top; without one it is start_layers()', or the
+    leaves of a tree too small for that.
     """
     from ..functions.distances import cosine_distance
 
     held = written(nodes.where("embedding is not null").select("tree_id", "node_id", "layer", F.col("embedding").alias("nv")).dropDuplicates(["tree_id", "node_id"]), "held")
     links = edges.select("tree_id", "parent_id", "child_id").distinct()
     if start_layer is None:
-        starts = start_layers(held, top_k)
+        starts = held.select("tree_id").distinct().join(start_layers(held, top_k), "tree_id", "left").select("tree_id", F.coalesce("start_layer", F.lit(0)).alias("start_layer"))
     else:
         starts = held.groupBy("tree_id").agg(F.least(F.max("layer"), F.lit(start_layer)).alias("start_layer"))
     asked = queries.select("query_id", "tree_id", F.col("embedding").alias("qv")).join(starts, "tree_id")

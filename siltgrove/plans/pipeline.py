@@ -105,7 +105,8 @@ def sparse_index(nodes: DataFrame, conf: Config) -> bm25.Index | None:
     """The sparse index of the leaves' texts by tree, written once for all rounds; None where none is configured."""
     if not conf.hybrid_search:
         return None
-    return bm25.Index(*[written(part, "sparse") for part in bm25.build(nodes.where("layer = 0").select(F.col("node_id").alias("doc_id"), "tree_id", "text"), "tree_id")])
+    built = bm25.build(nodes.where("layer = 0").select(F.col("node_id").alias("doc_id"), "tree_id", "text"), "tree_id")
+    return bm25.Index(built.postings, written(built.docs, "sparse"), written(built.words, "sparse"), written(built.scopes, "sparse"))
 
 
 def retrieve(nodes: DataFrame, edges: DataFrame, questions: DataFrame, conf: Config, sparse: bm25.Index | None = None) -> DataFrame:
@@ -145,10 +146,10 @@ def retrieve(nodes: DataFrame, edges: DataFrame, questions: DataFrame, conf: Con
     return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "node_id"))).where(F.col("rank") <= conf.rerank_top_k).select("query_id", "text", "rank", "node_id")
 
 
-def documents_for(nodes: DataFrame, edges: DataFrame, conf: Config) -> agent.Retrieve:
+def documents_for(nodes: DataFrame, edges: DataFrame, conf: Config, sparse: bm25.Index | None = None) -> agent.Retrieve:
     """What an agent calls: the texts found for each question, joined."""
 
-    sparse = sparse_index(nodes, conf)
+    sparse = sparse or sparse_index(nodes, conf)
 
     def run(questions: DataFrame) -> DataFrame:
         hits = retrieve(nodes, edges, questions, conf, sparse)
@@ -157,13 +158,13 @@ def documents_for(nodes: DataFrame, edges: DataFrame, conf: Config) -> agent.Ret
     return run
 
 
-def answered(nodes: DataFrame | None, edges: DataFrame | None, questions: DataFrame, conf: Config) -> tuple[DataFrame, DataFrame | None]:
+def answered(nodes: DataFrame | None, edges: DataFrame | None, questions: DataFrame, conf: Config, sparse: bm25.Index | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(query_id and answer of every question, the rounds that led there or None). questions has query_id, question
     and, for forests, tree_id; see routed()."""
     make = backend(READERS, conf.reader)
     if conf.no_retrieval or nodes is None:
         return agent.single_shot(questions, None, make, conf.answer_type), None
-    look = documents_for(nodes, edges, conf)
+    look = documents_for(nodes, edges, conf, sparse)
     if conf.max_retrieval_time == 0:
         return agent.single_shot(questions, look(questions.withColumnRenamed("question", "text")), make, conf.answer_type), None
     most = conf.max_retrieval_time

@@ -100,7 +100,8 @@ eval_rouge1, eval_rouge2 = _rouge(1), _rouge(2)
 
 
 def eval_rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.rouge_l(_predictions(spark, d), _gold(spark, d))
+    r = evaluate.rouge_l(_predictions(spark, d), _gold(spark, d))
+    return r.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 
 def eval_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +122,7 @@ def hop_budget(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "queries").select("query_id", embedding_of(F.col("question")).alias("embedding")).dropDuplicates(["query_id"])
     n = table(spark, d, "state_log").groupBy("query_id").agg(F.countDistinct("round_no").alias("hops"))
     rows = written(q.join(n, "query_id"), "hops")
-    return hops.budget(hops.train(rows, 64, epochs=20)[0], q)
+    return hops.budget(hops.train(rows, 64)[0], q)
 
 
 Q = "(select distinct query_id, question as text from queries where query_id % 100 = 0)"
@@ -192,6 +193,14 @@ select k, round(avg(coalesce(c / n, 0)), 4) as recall from r left join n on n.qu
 select query_id, round(max(case when h > 0 then 2 * (h / na) * (h / nb) / (h / na + h / nb) else 0.0 end), 6) as f1 from h group by 1""",
     "eval_rouge1": _rouge_sql(1),
     "eval_rouge2": _rouge_sql(2),
+    # Rows of the table of common subsequences, one word of the prediction after the other.
+    "eval_rouge_l": f"""{_PRED.replace("with l", "with recursive l", 1)},
+t as materialized (select row_number() over () as id, query_id, {_grams('prediction', 1)} as a, {_grams('answer', 1)} as b from pg),
+r as (select id, 0 as i, [0 for k in range(0, len(b) + 1)] as row from t
+  union all select r.id, i + 1, [greatest(row[j + 1], coalesce(list_max([row[k] + 1 for k in range(1, j + 1) if b[k] = a[i + 1]]), 0)) for j in range(0, len(b) + 1)] from r join t on t.id = r.id where i < len(a)),
+h as (select query_id, row[len(b) + 1] as h, len(a) as na, len(b) as nb from r join t on t.id = r.id where i = len(a))
+select query_id, round(max(case when na > 0 then h / na else 0.0 end), 6) as precision, round(max(case when nb > 0 then h / nb else 0.0 end), 6) as recall,
+  round(max(case when h > 0 then 2 * (h / na) * (h / nb) / (h / na + h / nb) else 0.0 end), 6) as f from h group by 1""",
     "eval_kinds": f"""{_PRED}, g as (select query_id, list_distinct(flatten(list({_toks('answer')}))) as g from gold_answer where answer is not null group by 1)
 select p.query_id, case when prediction = 'Error' then 'error'
   when list_contains({_toks('prediction')}, 'not') and list_has_any({_toks('prediction')}, ['mentioned', 'specified', 'stated']) then 'not_mentioned'

@@ -29,7 +29,8 @@ def tree_heights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_report(spark: SparkSession, d: str) -> DataFrame:
-    return inspect.node_report(table(spark, d, "nodes"), table(spark, d, "edges"))
+    r = inspect.node_report(table(spark, d, "nodes"), table(spark, d, "edges"))
+    return r.select("tree_id", "node_id", F.col("depth").cast("long").alias("depth"), F.md5("short_text").alias("digest"), "children")
 
 
 def tree_ancestors(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +58,8 @@ def tree_beam(spark: SparkSession, d: str) -> DataFrame:
     """Beam search down every tree, for the leaves whose id is divisible by 100, within their own trees."""
     n = table(spark, d, "nodes").where("size(embeddings) = 64").where(~F.exists("embeddings", lambda x: x.isNull() | F.isnan(x))).withColumnRenamed("embeddings", "embedding")
     q = n.where("layer = 0 and node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "tree_id", "embedding").dropDuplicates(["query_id"])
-    return tree.beam_search(n, table(spark, d, "edges"), q, 5)
+    found = tree.beam_search(n, table(spark, d, "edges"), q, 5)
+    return found.select("query_id", "tree_id", "layer", F.col("rank").cast("long").alias("rank"), "node_id", F.round("score", 6).alias("score"))
 
 
 def tree_flat(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +120,37 @@ def agent_answers(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.answer(written(nodes, "nodes"), written(edges, "edges"), q, CONF)
 
 
+FLOW = Config(force_split=True, passage_as_tree=True, abstract_type="keyword", max_abs_length=20, hybrid_search=True, rerank=True, reader="scripted", max_retrieval_time=2)
+
+
+def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The news events as documents, and a question about each that belongs to it."""
+    rows = table(spark, d, "wcep").groupBy("sample_id").agg(F.first("document").alias("document"), F.first("summary", True).alias("summary"))
+    rows = rows.select(F.col("sample_id").alias("doc_id"), F.array_join("document", "\n").alias("text"), "summary").where("text is not null and text <> ''")
+    return rows.select("doc_id", "text"), rows.where("summary is not null").select(F.col("doc_id").alias("query_id"), "doc_id", F.col("summary").alias("question"))
+
+
+def flow_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The tree that answers each question about an event."""
+    docs, q = _events(spark, d)
+    return pipeline.routed(q, docs, FLOW).select("query_id", F.col("tree_id").cast("long").alias("tree_id"))
+
+
+def flow_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The whole flow over the news events, a tree each: chunks, trees, abstracts, fused and reranked retrieval, and
+    an agent that looks up again. A row per round."""
+    docs, q = _events(spark, d)
+    nodes, edges = pipeline.build(docs, FLOW)
+    _, rounds = pipeline.answered(written(nodes, "nodes"), written(edges, "edges"), pipeline.routed(q, docs, FLOW), FLOW)
+    return rounds.select("query_id", "round_no", "action", (F.col("documents") != "").alias("found"))
+
+
+def flow_turns(spark: SparkSession, d: str) -> DataFrame:
+    """How many rounds each question took and how many of them found documents: the reader looks up twice."""
+    r = flow_rounds(spark, d)
+    return r.groupBy("query_id").agg(F.count("*").alias("rounds"), F.count_if("found").alias("found"))
+
+
 def smoke_pricing(spark: SparkSession, d: str) -> DataFrame:
     """Plain aggregation, as a smoke test of the engine."""
     li = table(spark, d, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
@@ -136,6 +169,27 @@ def smoke_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_id", "event_type")
 
 
+def _beam_sql(layers: int = 12, k: int = 5) -> str:
+    """The search layer by layer from the highest that any tree may have."""
+    usable = "len(embeddings) = 64 and not list_bool_or([x is null or isnan(x) for x in embeddings])"
+    parts = [f"""
+with held as materialized (select tree_id, node_id, any_value(layer) as layer, any_value(embeddings)::double[] as v from nodes where {usable} group by 1, 2),
+starts as (select tree_id, coalesce(max(layer) filter (where n >= {k}), 0) as s from (select tree_id, layer, count(*) as n from held group by 1, 2) group by 1),
+q as materialized (select node_id as query_id, tree_id, v as qv, s from held join starts using (tree_id) where layer = 0 and node_id % 100 = 0),
+l as materialized (select distinct tree_id, parent_id, child_id from edges),
+f{layers} as (select 0::bigint as query_id, 0 as tree_id, 0 as layer, 0::bigint as rank, 0::bigint as node_id, 0.0::double as score where false)"""]
+    for n in range(layers - 1, -1, -1):
+        parts.append(f"""f{n} as materialized (
+select query_id, tree_id, {n} as layer, rank, node_id, (2 - d) / 2 as score from (
+  select *, row_number() over (partition by query_id, tree_id order by d nulls last, node_id) as rank from (
+    select query_id, tree_id, v, min(round(1 - c, 9)) as d, min(node_id) as node_id from (
+      select query_id, q.tree_id, h.node_id, h.v, case when isfinite(list_cosine_similarity(qv, v)) then list_cosine_similarity(qv, v) end as c
+      from (select query_id, tree_id, node_id from q join held using (tree_id) where s = {n} and layer = {n}
+            union select f.query_id, f.tree_id, child_id from f{n + 1} f join l on l.tree_id = f.tree_id and l.parent_id = f.node_id) x
+      join held h on h.tree_id = x.tree_id and h.node_id = x.node_id and h.layer = {n} join q using (query_id)) group by 1, 2, 3)) where rank <= {k})""")
+    return ",\n".join(parts) + "\n" + " union all ".join(f"select query_id, tree_id, layer, rank, node_id, round(score, 6) as score from f{n}" for n in range(layers))
+
+
 _HEALTH = "select {} as tree_id, count(*) as leaves, 1::bigint as roots, 0::bigint as misplaced, 0::bigint as childless from embeddings"
 SQL = {
     "tree_layer_counts": "select tree_id, layer, count(distinct node_id) as n from nodes group by 1, 2",
@@ -157,6 +211,23 @@ h as (select max(layer) as h from nodes),
 a as (select distinct tree_id, node_id, 0 as layer, node_id as ancestor_id from nodes where layer = 0
   union all select a.tree_id, a.node_id, a.layer + 1, f.parent_id from a join f on f.tree_id = a.tree_id and f.child_id = a.ancestor_id, h where a.layer < h.h)
 select * from a where layer > 0""",
+    "tree_beam": _beam_sql(),
+    "tree_report": """
+with n as (select tree_id, node_id, any_value(layer) as layer, max(text) as text from nodes group by 1, 2),
+t as (select tree_id, max(layer) as top from n group by 1),
+k as (select tree_id, parent_id as node_id, list(child_id::varchar order by child_id) as ids from (select distinct tree_id, parent_id, child_id from edges) group by 1, 2),
+w as (select *, regexp_extract_all(text, '[^ \\t\\n\\r\\x0B\\f]+') as w from n)
+select tree_id, node_id, (top - layer)::bigint as depth, md5(case when len(w) <= 20 then text else array_to_string(w[1:20], ' ') || ' ...' end) as digest,
+  coalesce(array_to_string(case when ids is null then [] when len(ids) <= 100 then ids else list_concat(ids[1:95], ['...'], ids[-5:]) end, ', '), '') as children
+from w join t using (tree_id) left join k using (tree_id, node_id)""",
+    "flow_routes": """
+with e as (select sample_id, any_value(document) as document, any_value(summary) as summary from wcep group by 1),
+r as (select sample_id, summary, row_number() over (order by sample_id) - 1 as tree_id from e where coalesce(array_to_string(document, chr(10)), '') <> '')
+select sample_id as query_id, tree_id from r where summary is not null""",
+    "flow_turns": """
+with e as (select sample_id, any_value(document) as document, any_value(summary) as summary from wcep group by 1)
+select sample_id as query_id, 2::bigint as rounds, case when regexp_matches(array_to_string(document, chr(10)), '[^.!?\\s]') then 2 else 0 end::bigint as found
+from e where coalesce(array_to_string(document, chr(10)), '') <> '' and summary is not null""",
     "tree_starts": "select tree_id, max(layer) as start_layer from (select tree_id, layer from nodes group by 1, 2 having count(distinct node_id) >= 5) group by 1",
     "tree_roots": "select tree_id, count(*) as n_roots from (select distinct tree_id, node_id from nodes n where not exists (select 1 from edges e where e.tree_id = n.tree_id and e.child_id = n.node_id)) group by 1",
     "tree_components": """
@@ -177,4 +248,4 @@ select query_id, tree_id, rank, node_id, round((1 + c) / 2, 6) as score from (
     "smoke_events": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1",
 }
 
-QUERIES = (tree_layer_counts, tree_child_stats, tree_token_stats, tree_heights, tree_report, tree_ancestors, tree_starts, tree_roots, tree_components, tree_beam, tree_flat, forest_nodes, forest_health, bucketed_health, neighbours_health, documents_health, bucket_sizes, index_build, agent_answers, smoke_pricing, smoke_nations, smoke_events)
+QUERIES = (tree_layer_counts, tree_child_stats, tree_token_stats, tree_heights, tree_report, tree_ancestors, tree_starts, tree_roots, tree_components, tree_beam, tree_flat, forest_nodes, forest_health, bucketed_health, neighbours_health, documents_health, bucket_sizes, index_build, agent_answers, flow_routes, flow_turns, smoke_pricing, smoke_nations, smoke_events)

@@ -30,6 +30,40 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def session() -> SparkSession:
+    """The session of the command line: the one that is running or that the cluster's settings ask for; a local one
+    where nothing names a master."""
+    spark = SparkSession.builder.appName("siltgrove").getOrCreate()
+    ship(spark)
+    return spark
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any file system that Spark reads."""
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, in any file system that Spark writes; an old one is replaced."""
+    files, at = _path(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The whole of a small text file."""
+    return spark.read.text(path, wholetext=True).first().value
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: they need not have it installed."""
     context = spark.sparkContext

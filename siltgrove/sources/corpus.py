@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,17 +91,30 @@ def gold_answers() -> Column:
 
 
 def load(spark: SparkSession, folder: str, name: str, test_samples: int = -1) -> dict[str, DataFrame]:
-    """passages (doc_id, text), queries (query_id, question) and gold (query_id, answers, documents) of a dataset: a
-    pair `name.json` and `name_corpus.json`, or `name.jsonl`, or `name.txt`."""
+    """passages (doc_id, text), queries (query_id, question and, where each belongs to a document, doc_id) and gold
+    (query_id, answers, documents) of a dataset: a pair `name.json` and `name_corpus.json`, `name.jsonl` (books with
+    questions, or meetings, as its first record says), or `name.txt` (events). Corpora whose passages have an idx
+    `document_part` are joined to documents, which questions name."""
     at = lambda s: os.path.join(folder, name + s)
     if os.path.exists(at("_corpus.json")):
         c, q = sample(read_json(spark, at("_corpus.json"), "corpus"), test_samples), sample(read_json(spark, at(".json"), "questions"), test_samples)
-        return {"passages": passages(c.withColumn("text", F.coalesce("text", "body"))), "queries": q.select(F.col("ordinal").alias("query_id"), F.coalesce("question", "query").alias("question")), "gold": q.select(F.col("ordinal").alias("query_id"), gold_answers().alias("answers"), gold_documents().alias("documents"))}
+        c = c.withColumn("text", F.coalesce("text", "body"))
+        if not c.where("idx like '%\\\\_%' and idx is not null").isEmpty() and not q.where("document.id is not null").isEmpty():
+            docs = grouped(c)
+            named = q.join(docs.select(F.col("doc_id").alias("key"), F.col("ordinal").alias("doc_id")), q.document.id == F.col("key"), "left")
+            return {"passages": docs.select(F.col("ordinal").alias("doc_id"), F.array_join("passages", "\n").alias("text")), "queries": named.select(F.col("ordinal").alias("query_id"), F.coalesce("question", "query").alias("question"), "doc_id"), "gold": q.select(F.col("ordinal").alias("query_id"), gold_answers().alias("answers"), gold_documents(" ").alias("documents"))}
+        return {"passages": passages(c), "queries": q.select(F.col("ordinal").alias("query_id"), F.coalesce("question", "query").alias("question")), "gold": q.select(F.col("ordinal").alias("query_id"), gold_answers().alias("answers"), gold_documents().alias("documents"))}
     if os.path.exists(at(".txt")):
         e = events(sample(read_text_json(spark, at(".txt"), "events"), test_samples))
-        return {"passages": e.select("doc_id", "text"), "queries": e.select(F.col("doc_id").alias("query_id"), "question"), "gold": e.select(F.col("doc_id").alias("query_id"), F.col("gold").alias("answers"), F.lit(None).cast("array<string>").alias("documents"))}
+        return {"passages": e.select("doc_id", "text"), "queries": e.select(F.col("doc_id").alias("query_id"), "question", "doc_id"), "gold": e.select(F.col("doc_id").alias("query_id"), F.col("gold").alias("answers"), F.lit(None).cast("array<string>").alias("documents"))}
     if os.path.exists(at(".jsonl")):
+        first_line = spark.read.text(at(".jsonl")).where("trim(value) <> ''").first()
+        if first_line and "context" in json.loads(first_line.value):
+            b = sample(read_json(spark, at(".jsonl"), "books", True), test_samples)
+            docs = books(b)
+            asked = b.withColumn("prefix", F.substring("context", 1, 100)).join(docs.select("prefix", "doc_id"), "prefix", "left")
+            return {"passages": docs.select("doc_id", "text"), "queries": asked.select(F.col("ordinal").alias("query_id"), F.col("input").alias("question"), "doc_id"), "gold": b.select(F.col("ordinal").alias("query_id"), F.array("answer").alias("answers"), F.lit(None).cast("array<string>").alias("documents"))}
         m = sample(read_json(spark, at(".jsonl"), "meetings", True), test_samples)
         first = F.col("general_query_list")[0]
-        return {"passages": meetings(m), "queries": m.select(F.col("ordinal").alias("query_id"), first["query"].alias("question")), "gold": m.select(F.col("ordinal").alias("query_id"), F.array(first["answer"]).alias("answers"), F.lit(None).cast("array<string>").alias("documents"))}
+        return {"passages": meetings(m), "queries": m.select(F.col("ordinal").alias("query_id"), first["query"].alias("question"), F.col("ordinal").alias("doc_id")), "gold": m.select(F.col("ordinal").alias("query_id"), F.array(first["answer"]).alias("answers"), F.lit(None).cast("array<string>").alias("documents"))}
     raise FileNotFoundError(at(".json"))

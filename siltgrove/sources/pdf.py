@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tarfile
 import zipfile
 from collections.abc import Callable
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import exists
+
 MODES = ("file", "dir", "dir_recursive", "package", "package_recursive")
 CACHE = "_parsed"
 
@@ -39,19 +40,41 @@ def unpack(archive: str, to: str) -> str:
                 if not (m.isfile() or m.isdir()):
                     raise ValueError(f"link in archive: {m.name}")
             t.extractall(root, filter="data")
+    elif archive.lower().endswith((".7z", ".rar")):
+        _other(archive, root, safe)
     else:
         raise ValueError(f"unsupported archive: {archive}")
     return str(root)
 
 
+def _other(archive: str, root: Path, safe: Callable[[str], None]) -> None:
+    """7z and rar, where the modules that read them are installed."""
+    name = "py7zr" if archive.lower().endswith(".7z") else "rarfile"
+    try:
+        module = __import__(name)
+    except ImportError:
+        raise ValueError(f"unsupported archive without the module {name}: {archive}") from None
+    with (module.SevenZipFile(archive) if name == "py7zr" else module.RarFile(archive)) as a:
+        for member in a.getnames() if name == "py7zr" else a.namelist():
+            safe(member)
+        a.extractall(root)
+    for p in root.rglob("*"):
+        if p.is_symlink():
+            p.unlink()
+            raise ValueError(f"link in archive: {p.name}")
+
+
 def listing(path: str, mode: str) -> list[str]:
-    """The PDF files of a path, sorted; the cache's folder is left out. Archives must be unpacked first."""
+    """The PDF files of a path, sorted; the cache's folder is left out. An archive of the package modes is unpacked
+    beside it first, into a folder of its name without the ending."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "file":
         if not path.lower().endswith(".pdf"):
             raise ValueError("not a PDF file")
         return [path]
+    if mode.startswith("package") and Path(path).is_file():
+        path = unpack(path, str(Path(path).with_suffix("")))
     walk = Path(path).rglob("*") if mode.endswith("recursive") else Path(path).glob("*")
     return sorted(str(p) for p in walk if p.is_file() and p.suffix.lower() == ".pdf" and CACHE not in p.parts)
 
@@ -77,7 +100,7 @@ def parse(files: DataFrame, parser: Callable[[bytes], list[str]], cache: str | N
         return s.map(one)
 
     title = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "(?i)\\.pdf$", "")
-    have = spark.read.parquet(cache) if cache and os.path.isdir(cache) else None
+    have = spark.read.parquet(cache) if cache and exists(spark, f"{cache}/_SUCCESS") else None
     missing = files if have is None else files.join(have.select("path"), "path", "left_anti")
     fresh = missing.select("path", title.alias("title"), run("content").alias("chunks"))
     if not cache:

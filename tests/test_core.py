@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltgrove import config
 from siltgrove.functions import distances, text
-from siltgrove.operators import agent, bm25, chunking, evaluate, graph, inspect, models, nearest, ranking, stems, tree
+from siltgrove.operators import agent, bm25, chunking, evaluate, graph, hops, inspect, models, nearest, ranking, stems, tree
 from siltgrove.plans import pipeline
 from siltgrove.sources import corpus, pdf, store
 
@@ -283,14 +283,124 @@ def test_store_and_pipeline(spark, tmp_path):
 def test_agent_rounds(spark):
     class Asker:
         def answer(self, messages):
-            turns = sum(m["role"] == "assistant" for m in messages) - 1
-            return "t\nRetrieve: more" if turns < 1 or "never" in messages[-1]["content"] else "t\nAnswer: done."
+            question = models.read_turn(messages[-1]["content"])[0]
+            turns = sum(m["role"] == "user" and models.read_turn(m["content"])[0] == question for m in messages)
+            return "t\nRetrieve: more" if turns < 2 or "never" in question else "t\nAnswer: done."
 
     q = spark.createDataFrame([(1, "fine"), (2, "never")], "query_id long, question string")
-    done, rounds = agent.run(q, lambda x: x.select("query_id", F.concat(F.lit("doc "), "text").alias("documents")), 2, Asker)
+    look = lambda x: x.select("query_id", F.concat(F.lit("doc "), "text").alias("documents"))
+    done, rounds = agent.run(q, look, 2, Asker)
     assert {r.query_id: r.answer for r in done.collect()} == {1: "done", 2: "Error"}
     assert {r.query_id: r.n for r in rounds.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 2, 2: 3}
-    assert "close with" in models.agent_turn("d", "q", 0) and "close with" not in models.agent_turn("d", "q", -1)
+    assert {r.query_id: r.documents for r in agent.final_documents(rounds).collect()} == {1: ["doc fine", "doc more"], 2: ["doc never", "doc more"]}
+    # A budget of each question's own, within the common one.
+    own = q.withColumn("lookups", F.when(F.col("query_id") == 2, 0))
+    done, rounds = agent.run(own, look, 2, Asker)
+    assert {r.query_id: r.answer for r in done.collect()} == {1: "done", 2: "Error"}
+    assert {r.query_id: r.n for r in rounds.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 2, 2: 1}
+
+
+def test_prompts():
+    said = models.agent_messages("One.\nTwo.", "Why?", 2)
+    assert models.read_turn(said[-1]["content"]) == ("Why?", "One.\nTwo.") and not models.turn_is_last(said[-1]["content"])
+    assert models.turn_is_last(models.turn("d", "q", 0)) and not models.turn_is_last(models.turn("d", "q", -1))
+    shown = [m["content"] for m in said if m["role"] == "assistant"]
+    assert any("Retrieve: " in x for x in shown) and shown[-1].rpartition("Answer: ")[2] == "Ida Klee"
+    assert not any("Retrieve: " in m["content"] for m in models.example(0))
+    assert models.ScriptedReader().answer(said).split("\n")[1].startswith("Retrieve: ")
+    assert models.ScriptedReader().answer([*said, {"role": "assistant", "content": "x"}, {"role": "user", "content": models.turn("One.", "Why?", 1)}]).split("\n")[1].startswith("Answer: ")
+    assert models.read_turn(models.plain_prompt("d", "q")[-1]["content"]) == ("q", "d")
+    with pytest.raises(ValueError):
+        models.backend(models.READERS, "none")
+
+
+def test_questions_go_to_their_documents(spark):
+    """Two documents in two partitions, with ids far apart, and questions about the second."""
+    docs = spark.createDataFrame([(7, "The mill of Brenn is old. It stands near the river Vara."), (1 << 40, "The tower of Saltau is tall. It stands near the river Olm.")], "doc_id long, text string").repartition(2)
+    conf = config.Config(passage_as_tree=True, max_retrieval_time=0, tree_top_k=2)
+    nodes, edges = pipeline.build(docs, conf)
+    q = spark.createDataFrame([(1, "Near which river does it stand?", 1 << 40), (2, "Near which river does it stand?", 7), (3, "Where?", 99)], "query_id long, question string, doc_id long")
+    routed = pipeline.routed(q, docs, conf)
+    assert {r.query_id: r.tree_id for r in routed.collect()} == {1: 1, 2: 0, 3: None}
+    got = {r.query_id: r.answer for r in pipeline.answer(nodes, edges, routed, conf).collect()}
+    assert "Olm" in got[1] and "Vara" in got[2] and got[3] == "Not mentioned"
+    assert {r.tree_id for r in pipeline.routed(q, docs, config.Config()).collect()} == {0}
+
+
+def test_budget_by_hops(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"The mill of place{k} stands. It lies near river{k}.") for k in range(6)], "doc_id long, text string")
+    rows = [(k, f"{'who near where' if k % 2 else 'what'} place{k % 6}", 1 + k % 2) for k in range(60)]
+    train = spark.createDataFrame(rows, "query_id long, question string, hops int").withColumn("embedding", models.embedding_of(F.col("question")))
+    hops.save(hops.train(train, 64, epochs=30)[0], str(tmp_path / "hops"))
+    with pytest.raises(ValueError):
+        config.Config(max_retrieval_time="auto")
+    conf = config.Config(max_retrieval_time="auto", hop_model=str(tmp_path / "hops"), reader="scripted")
+    nodes, edges = pipeline.build(docs, conf)
+    answers, rounds = pipeline.answered(nodes, edges, spark.createDataFrame([(1, "what place3"), (2, "who near where place5")], "query_id long, question string"), conf)
+    assert {r.query_id: r.n for r in rounds.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 1, 2: 2} and answers.count() == 2
+
+
+def test_engine(spark, tmp_path):
+    from siltgrove.engine import Engine
+
+    docs = spark.createDataFrame([(k, f"The mill of place{k} stands near river{k}.") for k in range(5)], "doc_id long, text string")
+    e = Engine(spark, config.Config(max_retrieval_time=0, hybrid_search=True)).add(docs)
+    e.add(spark.createDataFrame([(4, "other"), (9, "The tower of Saltau is tall.")], "doc_id long, text string"))
+    assert "Saltau" in e.ask("How tall is the tower of Saltau?")
+    e.save(str(tmp_path / "e"))
+    again = Engine.load(spark, str(tmp_path / "e"), e.conf)
+    q = spark.createDataFrame([(1, "tower of Saltau")], "query_id long, question string")
+    assert again.retrieve(q).where("rank = 1").first().text == "The tower of Saltau is tall." and again.nodes.where("layer = 0").count() == 6
+    assert again.score(again.answer(q), spark.createDataFrame([(1, "The tower of Saltau is tall")], "query_id long, answer string"))["em"] == 1.0
+    with pytest.raises(ValueError):
+        Engine(spark).retrieve(q)
+
+
+def test_corpora_with_documents(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps({"context": c * 30, "input": f"q{k}", "answer": "a"}) for k, c in enumerate(("long book one ", "other book two ", "long book one "))))
+    b = corpus.load(spark, str(tmp_path), "b")
+    ids = {r.query_id: r.doc_id for r in b["queries"].collect()}
+    at = sorted(ids)
+    assert b["passages"].count() == 2 and ids[at[0]] == ids[at[2]] != ids[at[1]]
+    (tmp_path / "n_corpus.json").write_text(json.dumps([{"idx": f"{d}_{p}", "title": d, "text": f"{d} part {p}"} for d in ("x", "y") for p in range(3)]))
+    (tmp_path / "n.json").write_text(json.dumps([{"question": "of y?", "answer": "a", "document": {"id": "y"}}, {"question": "of none?", "answer": "a", "document": {"id": "z"}}]))
+    n = corpus.load(spark, str(tmp_path), "n")
+    texts = {r.doc_id: r.text for r in n["passages"].collect()}
+    named = {r.question: r.doc_id for r in n["queries"].collect()}
+    assert len(texts) == 2 and "y part 2" in texts[named["of y?"]] and named["of none?"] is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+    assert evaluate.lcs(a, b) == row[-1]
+
+
+def test_search_in_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(v) for v in rng.integers(-2, 3, 3)]) for k in range(120)] + [(500, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for metric in ("cosine", "l1"):
+        want = sorted(map(tuple, nearest.search(df, df, 4, metric, False).select("query_id", "rank", "vec_id").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(nearest, "QUERIES", 10)
+            m.setattr(nearest, "TILE", 30)
+            assert sorted(map(tuple, nearest.search(df, df, 4, metric, False).select("query_id", "rank", "vec_id").collect())) == want
+
+
+def test_large_trees_go_through_buckets(spark):
+    df = leaves(spark, 200)
+    r = tree.health(tree.grown(df, bucket=32, largest=50)).collect()
+    assert [(x.leaves, x.roots, x.misplaced, x.childless) for x in r] == [(200, 1, 0, 0)]
+    r = tree.health(tree.bucketed_tree(df, 32, knn=4)).first()
+    assert (r.leaves, r.roots, r.misplaced, r.childless) == (200, 1, 0, 0)
+    same = spark.createDataFrame([(0, k, [1.0, 2.0]) for k in range(90)], "tree_id int, node_id long, embedding array<double>")
+    assert tree.partition(same, 16).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 16
 
 
 def test_models():
