@@ -140,7 +140,32 @@ def _cleaned(x: str) -> str:
     return x
 
 
+def _pack_sql(source: str, most: int = 100) -> str:
+    """Packing as a recursion over a document's sentences, and over the parts of each sentence over the limit; chunks
+    in the order in which they are full. source gives doc_id and text."""
+    n = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]'))"
+    fold = """
+{r} as (select {key}, rn, 0 as part, n as size from {rows} where rn = 1
+  union all select {keys}, s.rn, case when r.size + s.n > {most} then r.part + 1 else r.part end, case when r.size + s.n > {most} then s.n else r.size + s.n end
+  from {r} r join {rows} s on {on} and s.rn = r.rn + 1)"""
+    return f"""
+with recursive d as ({source}),
+s as (select doc_id, i, s from (select doc_id, unnest(regexp_split_to_array(text, '[.!?\\n]')) as s, generate_subscripts(regexp_split_to_array(text, '[.!?\\n]'), 1) as i from d) where regexp_matches(s, '[^\\s\\p{{Z}}]')),
+c as materialized (select *, {n.format('s')} as n from s),
+u as materialized (select *, row_number() over (partition by doc_id order by i) as rn from c where n <= {most}),
+o as (select doc_id, i, unnest(regexp_split_to_array(s, '[,;:]')) as s, generate_subscripts(regexp_split_to_array(s, '[,;:]'), 1) as j from c where n > {most}),
+v as materialized (select doc_id, i, regexp_replace(s, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as s, {n.format('s')} as n, row_number() over (partition by doc_id, i order by j) as rn from o where regexp_matches(s, '[^\\s\\p{{Z}}]')),
+{fold.format(r='a', key='doc_id, 0::bigint as i', keys='s.doc_id, 0', rows='u', on='s.doc_id = r.doc_id', most=most)},
+{fold.format(r='b', key='doc_id, i', keys='s.doc_id, s.i', rows='v', on='s.doc_id = r.doc_id and s.i = r.i', most=most)},
+x as (select doc_id, part, string_agg(s, ' ' order by rn) as text, min(u.i) as first from a join u using (doc_id, rn) group by 1, 2),
+y as (select doc_id, text, coalesce(lead(first) over (partition by doc_id order by part), 1000000000) as due, 0 as part from x
+  union all select doc_id, string_agg(s, ' ' order by rn), i, part from b join v using (doc_id, i, rn) group by doc_id, i, part)
+select doc_id, row_number() over (partition by doc_id order by due, part) - 1 as chunk_index, text from y"""
+
+
 SQL = {
+    "chunk_pack": _pack_sql("select doc_id, text from documents where text is not null"),
+    "chunk_events": _pack_sql("select sample_id as doc_id, any_value(array_to_string(document, chr(10))) as text from wcep group by 1"),
     "text_normalize": f"select distinct query_id, alias_no, {_norm('answer')} as answer from gold_answer",
     "text_title_body": "select doc_id, title || chr(10) || text as passage from documents",
     "text_transcript_clean": f"select doc_id, md5({_cleaned('text')}) as digest, length({_cleaned('text')}) as n from documents where text is not null",
