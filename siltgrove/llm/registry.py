@@ -205,9 +205,35 @@ select node_id, cluster_id from c where cluster_id in (select cluster_id from c
 """
 
 
+P8_ITEMS_SQL = P8_SQL.split("w as (")[0] + """
+w as (select doc_id, k, array_to_string(t[k:k+11], ' ') as g from (select doc_id, t, unnest(range(1, len(t) - 10)) as k from d where len(t) >= 12)),
+m as (select distinct doc_id, item_id, k from w join p using (g)),
+s as (select *, case when k <= lag(k) over (partition by doc_id, item_id order by k) + 12 then 0 else 1 end as fresh from m),
+r as (select *, sum(fresh) over (partition by doc_id, item_id order by k) as stretch from s),
+l as (select doc_id, item_id, max(k) + 12 - min(k) as n from r group by doc_id, item_id, stretch)
+select item_id, count(distinct doc_id) as n_docs, max(n)::integer as longest from l group by 1
+"""
+
+
+P5_GROUPS_SQL = """
+with recursive e as (select sample_id, any_value(array_to_string(document, ' ')) as x from wcep group by 1),
+t as (select sample_id, x, regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+') as t from e),
+c as materialized (select sample_id, min(sample_id) over (partition by x) as class_id, t from t where len(t) >= 3),
+g as materialized (select distinct class_id, array_to_string(t[i:i+2], ' ') as g
+  from (select class_id, t, unnest(range(1, len(t) - 1)) as i from c where sample_id = class_id)),
+n as (select class_id, count(*) as n from g group by 1),
+p as materialized (select a, b from (select x.class_id as a, y.class_id as b, count(*) as c from g x join g y on x.g = y.g and x.class_id <> y.class_id group by 1, 2)
+  join n x on x.class_id = a join n y on y.class_id = b where 1000 * c >= 600 * (x.n + y.n - c)),
+r as (select class_id as node, class_id as low from n union select p.b, r.low from r join p on p.a = r.node),
+q as (select node, min(low) as group_id from r group by 1),
+k as (select a, count(*) as n_links from p group by 1)
+select sample_id, c.class_id, group_id, coalesce(n_links, 0) as n_links from c join q on q.node = c.class_id left join k on k.a = c.class_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p5_found, p5_groups, p6_found, p6_nearest, p7_found, p7_clean, p8_found, p8_leaks, p8_items, p9_found, p9_plan, p9_mix, p9_shares, p10_found, p10_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p9_plan": P9_PLAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p9_found": P9_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p9_plan": P9_PLAN_SQL, "p5_found": P5_SQL, "p5_groups": P5_GROUPS_SQL, "p8_items": P8_ITEMS_SQL, "p8_found": P8_SQL, "p9_found": P9_SQL}
