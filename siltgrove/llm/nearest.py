@@ -31,7 +31,7 @@ SAMPLE, MAX_LISTS = 262_144, 262_144
 PROBES, CODEBOOKS, CODES, BEAM = 6, 32, 16, 2
 #: Members of its nearest list that a query reranks first; and errors of a score (standard deviations, as the codes
 #: leave them) by which a member may fall short of the best so far and still be reranked.
-FIRST, MARGIN = 32, 3.5
+FIRST, MARGIN = 32, 4.5
 #: Queries whose look-up tables are held at a time, and queries of one list that are scored at a time.
 BLOCK, LANES = 2048, 128
 #: Groups that a vector visits as a query, and nearest groups among whose lists it chooses.
