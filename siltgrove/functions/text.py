@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import html as html_entities
-from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,20 +91,12 @@ def safe_name(name: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character entities written out: numeric ones of the Latin range by table, the named ones that HTML 4 has, and
-    `&amp;` last. Longer tables belong into a vectorised function; see unescape_all."""
+    `&amp;` last."""
     for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")):
         text = literal_replace(text, name, value)
     return text
 
 
-def unescape_all(text: str) -> str:
-    """Every entity of HTML 5, for use in vectorised functions."""
-    return html_entities.unescape(text)
-
-
-ENTITY_NAMES = len(html5)
-
-
 def plain(text: Column) -> Column:
     """Markup out of a text: entities written out first, then tags as blanks, then white space collapsed (no-break
     spaces too). Null gives empty text."""

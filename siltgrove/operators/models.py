@@ -69,6 +69,22 @@ class KeywordAbstractor:
         return ", ".join(w for w, _ in sorted(Counter(found).items(), key=lambda x: (-x[1], first[x[0]]))[:words])
 
 
+class PromptedAbstractor:
+    """Abstracts by any text model: generate takes a prompt and gives text. keywords asks for a list instead of prose."""
+
+    def __init__(self, generate: Callable[[str], str], keywords: bool = False) -> None:
+        self.generate, self.keywords = generate, keywords
+
+    def prompt(self, text: str, words: int, leaf: bool) -> str:
+        """What is asked of the model: the form, what the material is, its limit, the material."""
+        form = "comma-separated keywords, the most telling first" if self.keywords else "one plain paragraph"
+        material = "excerpts of documents" if leaf else ("keyword lists of related groups; merge what they share" if self.keywords else "abstracts of related groups; say what joins them")
+        return f"FORM: {form}\nLIMIT: {words} words\nMATERIAL: {material}\n---\n{text}"
+
+    def abstract(self, text: str, words: int = 100, leaf: bool = True) -> str:
+        return " ".join(self.generate(self.prompt(text, words, leaf)).split()[:words])
+
+
 class OverlapReranker:
     """The share of a query's words that a document has."""
 

@@ -139,7 +139,10 @@ def retrieve(nodes: DataFrame, edges: DataFrame, questions: DataFrame, conf: Con
     @F.pandas_udf("double")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
         model = make()
-        return pd.Series([model.scores(a, [b])[0] for a, b in zip(q, t)])
+        out = pd.Series(0.0, index=q.index)
+        for asked_, at in q.groupby(q).groups.items():  # a query's documents of a batch in one call
+            out[at] = model.scores(asked_, list(t[at]))
+        return out
 
     every = both[0] if len(both) == 1 else both[0].unionByName(both[1])
     one = every.groupBy("query_id", "text").agg(F.min("node_id").alias("node_id")).join(asked.select("query_id", F.col("text").alias("q")), "query_id").withColumn("s", score("q", "text"))

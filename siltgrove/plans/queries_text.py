@@ -43,6 +43,7 @@ def text_transcript_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_long_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Events of more than 300 words. The loader's own limit is 6 000, which no event of these tables reaches."""
     n = t.word_count(F.array_join("document", " "))
     return table(spark, d, "wcep").select("sample_id", n.cast("long").alias("n")).where("n > 300").distinct()
 

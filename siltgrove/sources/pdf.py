@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import item_text
 from ..session import exists
 
 MODES = ("file", "dir", "dir_recursive", "package", "package_recursive")
@@ -109,6 +110,23 @@ def parse(files: DataFrame, parser: Callable[[bytes], list[str]], cache: str | N
     return spark.read.parquet(cache).join(files.select("path"), "path", "left_semi").select("title", "chunks")
 
 
+ITEM_FIELDS = ("text", "latex", "html", "code_caption", "code_body", "table_caption", "table_body", "table_footnote", "image_caption", "chart_caption", "content")
+ITEMS = "type string, text_level int, page_idx int, list_items array<string>, " + ", ".join(f"{c} string" for c in ITEM_FIELDS)
+
+
+def content_list(spark: SparkSession, path: str) -> DataFrame:
+    """path, item_no (from 0) and text of the items of parsed PDFs whose content lists (JSON arrays of items) lie at a
+    path or pattern; items without text, page furniture among them, are left out. A file that is no list gives none."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", f"array<struct<{_as_struct(ITEMS)}>>").alias("items"))
+    rows = files.select("path", F.posexplode("items").alias("item_no", "x")).select("path", "item_no", "x.*")
+    return rows.select("path", "item_no", item_text(F.col("type"), F.col).alias("text")).where("text <> ''")
+
+
+def _as_struct(fields: str) -> str:
+    """Column definitions as those of a struct."""
+    return ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
+
+
 def markdown_chunks(text):  # noqa: ANN001, ANN201
     """The blocks of a Markdown text between empty lines, as a Column."""
     return F.filter(F.transform(F.split(text, "\\n\\s*\\n"), F.trim), lambda s: s != "")

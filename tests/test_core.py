@@ -340,6 +340,21 @@ def test_budget_by_hops(spark, tmp_path):
     assert {r.query_id: r.n for r in rounds.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 1, 2: 2} and answers.count() == 2
 
 
+def test_content_lists(spark, tmp_path):
+    items = [{"type": "text", "text": "Head", "text_level": 1}, {"type": "header", "text": "x"}, {"type": "list", "list_items": ["a &amp; b", "c"]}, {"type": "table", "table_body": "<tr><td>1</td></tr>", "odd": 1}]
+    (tmp_path / "a.json").write_text(json.dumps(items, indent=1))
+    (tmp_path / "b.json").write_text("not a list")
+    got = [(r.item_no, r.text) for r in pdf.content_list(spark, f"{tmp_path}/*.json").orderBy("item_no").collect()]
+    assert got == [(0, "# Head"), (2, "a & b\nc"), (3, "1")]
+
+
+def test_prompted_abstracts():
+    seen = []
+    model = models.PromptedAbstractor(lambda p: seen.append(p) or "one two three", keywords=True)
+    assert model.abstract("text", 2, False) == "one two" and "keyword lists" in seen[0] and seen[0].endswith("text")
+    assert "excerpts" in models.PromptedAbstractor(str).prompt("t", 9, True)
+
+
 def test_engine(spark, tmp_path):
     from siltgrove.engine import Engine
 
