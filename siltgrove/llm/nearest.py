@@ -5,7 +5,7 @@ group by one task a group, so that both grow in number with the vectors. What a
 list's centre is coded by beam search over full-dimensional residual codebooks; that part and the code are all that
 look-up tables need to score it. A vector travels to the groups that hold the lists it probes; there the tables score
 every member of those lists, and those whose score, given the error that codes leave, may beat the best so far are
-reranked by exact similarities (about an eighth): the codes decide who is looked at. How many members elsewhere may be nearer than what was found is then expected from the size, mean and spread
+reranked by exact similarities (about a seventh): the codes decide who is looked at. How many members elsewhere may be nearer than what was found is then expected from the size, mean and spread
 of the lists and groups; a vector that may miss more than MISSED of its neighbours goes on to as many further groups as
 that takes, in exact blocked products. Vectors that equal one another stand for one another, so a group of copies of
 any size costs no more than six vectors.
