@@ -4,7 +4,8 @@ The payload of a response is aligned with its prompt by shingle containment and
 and with templates of refusals (refusals). Most of what tells defects is learned from the tables: refusal templates are
 replies that recur under prompts with which they share nothing; how a text may end, and what is a word, from the log's
 own sentences; languages from rows that name theirs. Frames of first-person refusals help where a log is too small to
-show templates. One pass over the log counts, one applies.
+show templates. One pass over the log counts, one applies; the templates that the latter doesn't hold in memory are
+joined to the replies by shingles.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import lcs
+from ..session import written
 from . import language
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "wrong_language")
@@ -38,7 +41,7 @@ FRAMES = {
 }
 REACH = 12
 #: Prompts under which a reply recurs, and its least and greatest number of words, to count as a template of
-#: refusals; most templates, commonest first (rarer ones are still found where frames or other templates meet them).
+#: refusals; templates, commonest first, that the scan of a log holds in memory (all others are joined).
 RECURS, SHORT, LONG, TEMPLATES = 3, 4, 40, 4096
 #: Words of the log, commonest first, whose ways to end are kept; occurrences they need; share of ends up to which a
 #: word needs another one after it.
@@ -69,8 +72,8 @@ def payload(response: str) -> str | None:
 
 @dataclass
 class Model:
-    """What the tables teach: templates of refusals by their shingles, words with their shares of ends, languages. Its
-    size is bounded by TEMPLATES, WORDS and the languages' buckets."""
+    """What the tables teach: templates of refusals by their shingles, words with their shares of ends, languages. As
+    defects() makes it, its size is bounded by TEMPLATES, WORDS and the languages' buckets."""
 
     templates: list[list[str]] = field(default_factory=list)
     ends: dict[str, float] = field(default_factory=dict)
@@ -99,18 +102,25 @@ def framed(words: list[str]) -> bool:
     return False
 
 
+def refusable(response: str) -> list[str]:
+    """The words of a response, or of its payload if it has one, that may decline: those outside quotations."""
+    given = payload(response)
+    return tokens(_QUOTED.sub(" ", response if given is None else given))
+
+
+def holds(words: list[str], template: list[str], shared: int) -> bool:
+    """Whether the words, with so many of the template's shingles, contain it: four fifths of the shingles, and nearly
+    all of its words in order."""
+    return shared >= 0.8 * (len(template) - 2) and lcs(template, words) >= len(template) - (len(template) > 5)
+
+
 def is_refusal(words: list[str], model: Model) -> bool:
-    """Whether the words contain a refusal: four fifths of a template's shingles of three, and nearly all of its words
-    in order; or a frame."""
+    """Whether the words contain a refusal: a template, or a frame."""
     hits: dict[int, int] = {}
     for s in set(zip(words, words[1:], words[2:])):
         for k in model.at.get(s, ()):
             hits[k] = hits.get(k, 0) + 1
-    for k, n in hits.items():
-        t = model.templates[k]
-        if n >= 0.8 * (len(t) - 2) and lcs(t, words) >= len(t) - (len(t) > 5):
-            return True
-    return framed(words)
+    return any(holds(words, model.templates[k], n) for k, n in hits.items()) or framed(words)
 
 
 def is_copy(asked: list[str], given: list[str]) -> bool:
@@ -166,13 +176,12 @@ def defect(prompt: str | None, response: str | None, model: Model) -> str | None
         return "empty"
     given = payload(response)
     if given is None:
-        return "refusal" if is_refusal(tokens(_QUOTED.sub(" ", response)), model) else "truncated"
+        return "refusal" if is_refusal(refusable(response), model) else "truncated"
     words = tokens(given)
     if not words:
         return "empty"
     asked = tokens(prompt or "")
-    unquoted = _QUOTED.sub(" ", given)
-    if is_refusal(tokens(unquoted), model):
+    if is_refusal(refusable(response), model):
         return "refusal"
     if is_copy(asked, words):
         return "copy"
@@ -181,11 +190,12 @@ def defect(prompt: str | None, response: str | None, model: Model) -> str | None
     said = len(tokens(head)) >= 5 and 1 <= len(tokens(tail)) <= 4
     if not said and is_truncated(given, model):
         return "truncated"
-    return "wrong_language" if is_foreign(prompt or "", unquoted, model) else None
+    return "wrong_language" if is_foreign(prompt or "", _QUOTED.sub(" ", given), model) else None
 
 
-def _recurring(rows: DataFrame) -> list[list[str]]:
-    """The words of replies that recur under RECURS prompts and more and share no word of four letters with them."""
+def _recurring(rows: DataFrame) -> DataFrame:
+    """The replies that recur under RECURS prompts and more and share no word of four letters with them, as their words
+    (reply), each with the number of the prompts (n)."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
@@ -198,8 +208,7 @@ def _recurring(rows: DataFrame) -> list[list[str]]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["reply", "prompt"])
 
     said = rows.where("prompt is not null and response is not null").select("prompt", "response").mapInArrow(run, "reply string, prompt string")
-    again = said.select("reply", F.xxhash64("prompt").alias("p")).distinct().groupBy("reply").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
-    return [r.reply.split() for r in again.orderBy(F.desc("n"), "reply").limit(TEMPLATES).collect()]
+    return said.select("reply", F.xxhash64("prompt").alias("p")).distinct().groupBy("reply").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
 
 
 def _ends(rows: DataFrame) -> dict[str, float]:
@@ -212,9 +221,51 @@ def _ends(rows: DataFrame) -> dict[str, float]:
     return {r.word: r.e / r.n for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()}
 
 
-def fit(rows: DataFrame, labelled: DataFrame | None = None) -> Model:
-    """The model of a log (prompt, response) and of rows that name their language (text, lang)."""
-    return Model(_recurring(rows), _ends(rows), language.fit(labelled) if labelled is not None else language.Languages())
+def fit(rows: DataFrame, labelled: DataFrame | None = None, templates: list[str] | None = None) -> Model:
+    """The model of a log (prompt, response) and of rows that name their language (text, lang): with the given
+    templates, else with all that the log has."""
+    if templates is None:
+        templates = [r.reply for r in _recurring(rows).orderBy(F.desc("n"), "reply").collect()]
+    return Model([t.split() for t in templates], _ends(rows), language.fit(labelled) if labelled is not None else language.Languages())
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """One row per text (id, words) and distinct run of three of its words, as a number (id, g)."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            own = [{" ".join(s) for s in zip(t, t[1:], t[2:])} for t in (x.split() for x in b.column(1).to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(own)), np.array([len(x) for x in own], np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([s for x in own for s in x], pa.string())], names=["id", "s"])
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, s string").select("id", F.xxhash64("s").alias("g"))
+
+
+def _containing(texts: DataFrame, templates: DataFrame) -> DataFrame:
+    """Those of the distinct texts (words) that contain one of the templates (reply).
+
+    A text with a template has so many of its shingles that it lacks none or few; of the template's rarest shingles, one
+    more than that, it has at least one. These meet in a join; what meets is compared in full, so that shingles or
+    texts of the same number do no harm.
+    """
+    grams = _shingles(templates.select(F.col("reply").alias("id"), F.col("reply").alias("words")))
+    own = grams.join(grams.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("k"))
+    enough = F.ceil(0.8 * (F.size(F.split("id", " ")) - 2)).cast("int")
+    keys = own.select(F.col("id").alias("reply"), F.explode(F.slice("k", F.lit(1), F.greatest(F.size("k") - enough + 1, F.lit(0)))["g"]).alias("g"))
+    texts = texts.withColumn("id", F.xxhash64("words"))
+    met = _shingles(texts.select("id", "words")).join(keys, "g").groupBy("id").agg(F.collect_set("reply").alias("replies"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = []
+            for text, replies in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = text.split()
+                there = set(zip(words, words[1:], words[2:]))
+                if any(holds(words, t, len(there & set(zip(t, t[1:], t[2:])))) for t in map(str.split, replies)):
+                    out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["words"])
+
+    return texts.join(met, "id").select("words", "replies").mapInArrow(run, "words string")
 
 
 def defects(log: DataFrame, labelled: DataFrame | None = None, key: str = "log_id", prompt: str = "subquestion", response: str = "response") -> DataFrame:
@@ -227,15 +278,29 @@ def defects(log: DataFrame, labelled: DataFrame | None = None, key: str = "log_i
     repeated rows give one row. Columns other than the three are left aside. An empty table gives an empty one.
     """
     rows = log.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("log_id"), F.col(prompt).alias("prompt"), F.col(response).alias("response"))
-    held = log.sparkSession.sparkContext.broadcast(fit(rows.select("prompt", "response"), labelled))
+    texts = rows.select("prompt", "response")
+    again = _recurring(texts)
+    first = again.orderBy(F.desc("n"), "reply").limit(TEMPLATES + 1).collect()
+    held = log.sparkSession.sparkContext.broadcast(fit(texts, labelled, [r.reply for r in first[:TEMPLATES]]))
+    more = len(first) > TEMPLATES
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             found = [defect(p, r, held.value) for p, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            keep = pa.array([k for k, d in enumerate(found) if d], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array([d for d in found if d], pa.string())], names=["log_id", "defect"])
-
-    return rows.mapInArrow(run, "log_id long, defect string").distinct()
+            words = [refusable(r) if more and d not in DEFECTS[:2] else [] for d, r in zip(found, b.column(2).to_pylist())]
+            # What has too few words for a template is settled.
+            left = [" ".join(w) if len(w) >= SHORT else None for w in words]
+            keep = pa.array([k for k, d in enumerate(found) if d or left[k]], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array(found, pa.string()).take(keep), pa.array(left, pa.string()).take(keep)], names=["log_id", "defect", "words"])
+
+    out = rows.mapInArrow(run, "log_id long, defect string, words string")
+    if not more:
+        return out.select("log_id", "defect").distinct()
+    out, last = written(out, "replies"), first[TEMPLATES]
+    rarer = written(again.where((F.col("n") < last.n) | (F.col("n") == last.n) & (F.col("reply") >= last.reply)).select("reply"), "templates")
+    refused = _containing(out.select("words").where("words is not null").distinct(), rarer).withColumn("refused", F.lit(True))
+    asked = out.where("words is not null").join(refused, "words", "left").withColumn("defect", F.when(F.col("refused"), "refusal").otherwise(F.col("defect")))
+    return out.where("words is null").unionByName(asked.drop("refused")).where("defect is not null").select("log_id", "defect").distinct()
 
 
 def project_labels(queries: DataFrame, documents: DataFrame) -> DataFrame:

@@ -251,6 +251,31 @@ def test_defect_rows(spark):
     assert pairs.defects(df.where("false")).count() == 0
 
 
+def test_templates_beyond_those_in_memory(spark):
+    rng = random.Random(9)
+    common = [f"com{k}" for k in range(40)]
+    replies = []
+    for k in range(pairs.TEMPLATES + 400):
+        own = [f"w{k}x{i}" for i in range(rng.randint(5, 9))]
+        at = rng.randrange(len(own) + 1)
+        replies.append(own[:at] + rng.choices(common, k=rng.choice([0, 3, 12, 30])) + own[at:])
+    log = [(f"Who kept mill {k}-{i}?", "t\nAnswer: " + " ".join(t) + ".", "refusal") for k, t in enumerate(replies) for i in range(3)]
+    for t in rng.sample(replies, 300):
+        k = rng.randrange(len(t))
+        log.append(("Who?", "t\nAnswer: so " + " ".join(t) + " and thus.", "refusal"))
+        log.append(("Who?", " ".join(t) + ".", "refusal"))
+        log.append(("Who?", 't\nAnswer: Dora wrote "' + " ".join(t) + '" and left.', None))
+        log.append(("Who?", "t\nAnswer: " + " ".join(t[: len(t) // 2]) + ".", None))
+        log.append(("Who?", "t\nAnswer: " + " ".join(t[:k] + t[k + 1 :]) + ".", "either"))
+        log.append((" ".join(t) + "?", "t\nAnswer: " + " ".join(t) + ",", "refusal"))
+    df = spark.createDataFrame([(n, p, r) for n, (p, r, _) in enumerate(log)], "log_id long, subquestion string, response string")
+    got = dict(map(tuple, pairs.defects(df).collect()))
+    assert [n for n, (_, _, want) in enumerate(log) if want != "either" and got.get(n) != want] == []
+    model = pairs.fit(df.select(F.col("subquestion").alias("prompt"), "response"))
+    assert len(model.templates) == len(replies)
+    assert [n for n, (p, r, _) in enumerate(log) if got.get(n) != pairs.defect(p, r, model)] == []
+
+
 def test_languages_of_few_or_no_rows(spark):
     none = spark.createDataFrame([], "text string, lang string")
     assert language.fit(none).names == [] and language.fit(none).of_words({"the"}) == 0
